@@ -1,0 +1,9 @@
+"""Streaming.
+
+The workload this library covers reads every input whole (statement
+files, indicator workbooks, stored pages); it has no watermarks, event-time
+windows or stateful stream operators, so nothing is implemented here.
+Every job in ``quantfold.plans`` is a plain DataFrame function, so a caller
+who does receive prices as a stream can apply one per micro-batch through
+``writeStream.foreachBatch`` without any code in this package.
+"""
