@@ -191,25 +191,29 @@ def reindex(df: DataFrame, keys, date_col: str, step_months: int, extend: int =
 
 
 # ---- d06 --------------------------------------------------------------------------
-def asof_backward(left: DataFrame, right: DataFrame, keys, date_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """d06: attach to each left row the latest right row with date <= left date.
-
-    Union both sides tagged by side, then ``last(value, ignorenulls)`` over
-    (key ORDER BY date, side) — one shuffle and one sort, linear in both
-    inputs; right rows sort before left rows on the same date.
+def asof_backward(left: DataFrame, right: DataFrame, keys, left_date: str, right_date: str,
+                  value_cols: Sequence[str]) -> DataFrame:
+    """d06: attach to each left row the latest right row with right_date <= left_date.
+
+    Both sides are unioned, tagged by side, and ``last(struct, ignorenulls)``
+    runs over (key ORDER BY date, side): one shuffle on the key and one sort,
+    linear in both inputs. Right rows sort before left rows on the same date,
+    so equal dates match. Carrying a struct keeps NULL right values exact.
     """
     keys = _keys(keys)
     lcols = left.columns
-    tagged_l = left.select(*[F.col(c) for c in lcols], F.lit(1).alias("__side"),
-                           *[F.lit(None).cast(right.schema[v].dataType).alias(f"__r_{v}") for v in value_cols])
-    tagged_r = right.select(*[F.col(k) for k in keys], F.col(date_col),
-                            *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c not in keys and c != date_col],
-                            F.lit(0).alias("__side"),
-                            *[F.col(v).alias(f"__r_{v}") for v in value_cols])
-    u = tagged_l.unionByName(tagged_r)
-    w = Window.partitionBy(*keys).orderBy(date_col, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumns({v: F.last(f"__r_{v}", ignorenulls=True).over(w) for v in value_cols})
-    return u.where(F.col("__side") == 1).select(*lcols, *value_cols)
+    rstruct = F.struct(*[F.col(v) for v in value_cols])
+    l_side = left.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(left_date).alias("__d"),
+                         F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in lcols]).alias("__l"),
+                         F.lit(None).cast(right.select(rstruct.alias("x")).schema["x"].dataType).alias("__r"))
+    r_side = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(right_date).alias("__d"),
+                          F.lit(0).alias("__side"),
+                          F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in lcols]).alias("x")).schema["x"].dataType).alias("__l"),
+                          rstruct.alias("__r"))
+    w = (Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__d", "__side")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = l_side.unionByName(r_side).withColumn("__m", F.last("__r", ignorenulls=True).over(w))
+    return u.where(F.col("__side") == 1).select("__l.*", *[F.col(f"__m.{v}").alias(v) for v in value_cols])
 
 
 # ---- d09 ----------------------------------------------------------------------------
