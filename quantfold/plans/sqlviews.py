@@ -10,6 +10,16 @@ HALF_YEAR_END = ("CASE WHEN month({d}) <= 6 THEN make_date(year({d}), 6, 30) "
                  "ELSE make_date(year({d}), 12, 31) END")
 
 
+def rnd(expr: str, d: int = 6) -> str:
+    """DuckDB rounding that matches Spark's ``round`` on doubles.
+
+    Spark rounds the shortest decimal string of the double HALF_UP; DuckDB's
+    ``round`` scales the binary value. Casting through VARCHAR to an exact
+    DECIMAL first makes both agree on exact-half ties.
+    """
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 18)), {d}) AS DOUBLE)"
+
+
 def hye(d: str) -> str:
     return HALF_YEAR_END.format(d=d)
 
