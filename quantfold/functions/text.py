@@ -66,11 +66,16 @@ def clean_page(c) -> Column:
     return F.trim(F.regexp_replace(t, f"{WS}+", " "))
 
 
+# The minutes-cleaning patterns, applied in this order.
+MINUTES_STRIP = rf"(@\[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(\w+:\/\/{NON_WS}+)|^r|"
+CAPITAL_SPLIT = rf"(?<!{WS})(?=[A-Z])"
+
+
 def clean_minutes(c) -> Column:
     """h02: strip handles, symbols, URLs and a leading 'r'; tabs -> space; space before capitals; collapse."""
-    t = F.regexp_replace(as_col(c), rf"(@\[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(\w+:\/\/{NON_WS}+)|^r|", "")
+    t = F.regexp_replace(as_col(c), MINUTES_STRIP, "")
     t = F.regexp_replace(t, r"\t", " ")
-    t = F.regexp_replace(t, rf"(?<!{WS})(?=[A-Z])", " ")
+    t = F.regexp_replace(t, CAPITAL_SPLIT, " ")
     return F.regexp_replace(t, f"{WS}+", " ")
 
 
