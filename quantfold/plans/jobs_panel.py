@@ -540,3 +540,10 @@ def j03(t):
     """Model-ready company panel from statements, macro series and daily values."""
     daily = C.company_daily(t.orders, t.customer)
     return C.model_panel(t.statements, macro_wide(t), daily)
+
+
+@register("g07_total_sort", with_views(["statements"], """
+SELECT period, company, sheet, item, round(value, 6) AS value FROM statements"""))
+def g07(t):
+    """Statements totally ordered by (period, company, sheet, item) — a range-partitioned sort, for sinks."""
+    return t.statements.orderBy("period", "company", "sheet", "item").select("period", "company", "sheet", "item", "value")

@@ -359,3 +359,34 @@ WHERE rn <= floor((SELECT count(*) FROM dsel) * 0.025) AND {sql_hits('sentence')
 def h18(t):
     """End-to-end selection of policy-like report sentences."""
     return sentence_selection(t)
+
+
+# ---- explicit entries for operators used inside the jobs above ------------------------------------
+@register("c07_explode_with_position", with_views(["minutes"], r"""
+SELECT doc_id, CAST(unnest(range(len(arr))) AS INTEGER) AS pos, unnest(arr) AS piece
+FROM (SELECT doc_id, string_split_regex(content, '\. ') AS arr FROM mc)""", [MC]))
+def c07(t):
+    """Cleaned minutes split into '. ' pieces, one row each with its position."""
+    return X.explode_sentences(minutes_clean(t), "content", "piece", "pos").drop("content")
+
+
+@register("d04_derived_columns", with_views(["doc_pages"], f"""
+SELECT page_no, sent_no, {sql_digits('sentence')} AS sentence_count, CAST(length(sentence) AS BIGINT) AS sentence_len,
+       {sql_digits('paragraph')} AS paragraph_count, CAST(length(paragraph) AS BIGINT) AS paragraph_len
+FROM (SELECT page_no, sent_no, sentence, array_to_string(arr[(sent_no // 3) * 3 + 1:(sent_no // 3) * 3 + 3], ' ') AS paragraph
+      FROM (SELECT page_no, arr, CAST(unnest(range(len(arr))) AS INTEGER) AS sent_no, unnest(arr) AS sentence
+            FROM (SELECT page_no, string_split_regex(content, '\\. ') AS arr FROM pg)))""", [PAGES]))
+def d04(t):
+    """Digit counts and lengths of sentence and paragraph columns added with ``select`` (no self joins)."""
+    s = X.sentences_with_paragraphs(pages_clean(t), "content", 3)
+    return s.select("page_no", "sent_no",
+                    T.digit_count("sentence").alias("sentence_count"), F.length("sentence").cast("bigint").alias("sentence_len"),
+                    T.digit_count("paragraph").alias("paragraph_count"), F.length("paragraph").cast("bigint").alias("paragraph_len"))
+
+
+@register("d08_corpus_mean_cosine", with_views(["minutes"], "SELECT doc_id, round(score, 6) AS score FROM scored",
+                                               centroid_ctes() + sql_scores("mc", "doc_id", "content")))
+def d08(t):
+    """Mean cosine of every corpus document to all corpus documents — no document pairs formed."""
+    mc = minutes_clean(t)
+    return X.similarity_to_corpus(mc, ["doc_id"], "content", X.corpus_centroid(mc, "doc_id", "content"))
