@@ -120,18 +120,20 @@ def similarity_to_corpus(df: DataFrame, id_cols: Sequence[str], text_col: str, c
                          out: str = "score") -> DataFrame:
     """h13/d08: mean cosine similarity of every text to the corpus documents.
 
-    mean_j cos(d, c_j) = (d / |d|) · mean_j (c_j / |c_j|). Texts without a
-    known term score 0; NULL/empty texts get NULL.
+    mean_j cos(d, c_j) = (d / |d|) · mean_j (c_j / |c_j|). One pass over the
+    texts: tokens are exploded (outer, so a text without tokens keeps a row),
+    counted per (text, token), left-joined to the centroid and summed per
+    text. Texts without a known term score 0; NULL/empty texts are dropped.
     """
     ids = list(id_cols)
-    src = df.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(*ids, text_col)
-    counts = token_rows(src, ids, text_col).groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf"))
-    j = counts.join(centroid, "token")
+    src = df.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
+    toks = src.select(*ids, F.explode_outer(T.tokens(text_col)).alias("token"))
+    counts = toks.groupBy(*ids, "token").agg(F.count("token").alias("tf"))
+    j = counts.join(centroid, "token", "left")
     per = j.groupBy(*ids).agg(
         F.sum(F.col("tf") * F.col("idf") * F.col("c")).alias("__dot"),
         F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("__norm"))
-    scored = src.select(*ids).join(per, ids, "left")
-    return scored.select(*ids, F.coalesce(safe_div(F.col("__dot"), F.col("__norm")), F.lit(0.0)).alias(out))
+    return per.select(*ids, F.coalesce(safe_div(F.col("__dot"), F.col("__norm")), F.lit(0.0)).alias(out))
 
 
 # ---- selection (g02, g06, b12, h06) ---------------------------------------------------------
@@ -143,13 +145,15 @@ def first_by(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str])
               .select(key, *[F.col(f"__p.{c}").alias(c) for c in cols if c != key]))
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], partitions: int | None = None,
+                with_total: bool = False):
     """Exact 1-based rank over a total order without a single-partition window.
 
-    Range-partition on the order, number rows inside each partition, add the
-    row counts of all earlier partitions (a table with one row per
-    partition). The sorted data is checkpointed so both passes see the same
-    partitioning.
+    Range-partition on the order and materialise that once in the reliable
+    checkpoint folder; number rows inside each partition and add the row
+    counts of all earlier partitions (a table with one row per partition).
+    The input is computed once; the total row count comes from the
+    checkpoint. Returns the ranked frame, or (frame, total) when asked.
     """
     from ..session import cut_lineage
     spark = df.sparkSession
@@ -159,13 +163,15 @@ def global_rank(df: DataFrame, order: Sequence[Column], partitions: int | None =
     offs = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
     local = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))
     # one row per partition: bounded by the partition count
-    return (s.withColumn("__local", local).join(F.broadcast(offs), "__pid")
-              .withColumn("rank", (F.col("__off") + F.col("__local")).cast("bigint"))
-              .drop("__pid", "__local", "__off"))
+    ranked = (s.withColumn("__local", local).join(F.broadcast(offs), "__pid")
+                .withColumn("rank", (F.col("__off") + F.col("__local")).cast("bigint"))
+                .drop("__pid", "__local", "__off"))
+    if with_total:
+        return ranked, s.count()
+    return ranked
 
 
 def top_fraction(df: DataFrame, order: Sequence[Column], fraction: float) -> DataFrame:
-    """g02: the first floor(n · fraction) rows in ``order`` (exact, distributed)."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = F.floor(n * F.lit(fraction))
-    return global_rank(df, order).where(F.col("rank") <= k).drop("rank")
+    """g02: the first floor(n · fraction) rows in ``order`` (exact, distributed, one pass over the input)."""
+    ranked, n = global_rank(df, order, with_total=True)
+    return ranked.where(F.col("rank") <= F.floor(F.lit(n) * F.lit(fraction))).drop("rank")

@@ -339,8 +339,9 @@ def sentence_selection(t, fraction: float = 0.025, min_hits: int = 5):
     s = X.first_by(s, "sentence", ["report_id", "page_no", "sent_no"], ["report_id", "page_no", "sent_no"])
     s = s.where((T.digit_count("sentence") < 3) & (F.length("sentence") > 100))
     cen = X.corpus_centroid(minutes_clean(t), "doc_id", "content")
-    scored = X.similarity_to_corpus(s, ["sentence"], "sentence", cen)
-    s = s.join(scored, "sentence")
+    # a distinct sentence is keyed by its first position: numeric keys, not the text
+    scored = X.similarity_to_corpus(s, ["page_no", "sent_no"], "sentence", cen)
+    s = s.join(scored, ["page_no", "sent_no"])
     top = X.top_fraction(s, [F.col("score").desc(), F.col("sentence")], fraction)
     lex = X.lexicon_words(lexicon_df(t))  # a top-200 list: bounded
     top = top.where(T.lexicon_hits("sentence", lex) > min_hits)

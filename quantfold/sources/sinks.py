@@ -48,8 +48,7 @@ def write_joined_text(df: DataFrame, col: str, order, path: str, sep: str = ". "
     are the joined text, one piece per line; no single task holds it all.
     """
     from ..operators.text import global_rank
-    n = df.select(F.count(F.lit(1))).scalar()
-    ranked = global_rank(df, list(order))
+    ranked, n = global_rank(df, list(order), with_total=True)
     piece = F.when(F.col("rank") < n, F.concat(F.col(col), F.lit(sep))).otherwise(F.col(col))
     (ranked.select(piece.alias("value"), "rank").repartitionByRange("rank").sortWithinPartitions("rank")
            .select("value").write.mode("overwrite").text(path))
