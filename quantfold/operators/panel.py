@@ -189,8 +189,9 @@ def quartile_edges(df: DataFrame, col: str, exact: bool = True, accuracy: int =
 
 def quartile_label(df: DataFrame, col: str, out: str = "quartile", exact: bool = True) -> DataFrame:
     """e09: Q1..Q4 label, right-closed bins, lowest value in Q1 (pandas qcut)."""
-    edges = quartile_edges(df, col, exact)
-    e1, e2, e3 = (edges.select(c).scalar() for c in ("e1", "e2", "e3"))
+    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    e = df.select((F.percentile(col, qs) if exact else F.percentile_approx(col, qs, 100000)).alias("e")).scalar()
+    e1, e2, e3 = e[0], e[1], e[2]  # one scalar subquery for all three edges
     x = F.col(col)
     lab = (F.when(x.isNull(), F.lit(None))
             .when(x <= e1, "Q1").when(x <= e2, "Q2").when(x <= e3, "Q3").otherwise("Q4"))

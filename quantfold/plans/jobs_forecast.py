@@ -18,7 +18,11 @@ N_TEST = 4
 
 
 def design(t):
-    return FC.design_matrix(macro_wide(t), SERIES, "crisis_dummy", extend=2, lag=2, skip=3)
+    """The design matrix is calendar-sized (targets × quarters) and feeds every backtest
+    branch, so it is materialised once in the checkpoint folder instead of re-deriving
+    it from the order table in each branch."""
+    from ..session import cut_lineage
+    return cut_lineage(FC.design_matrix(macro_wide(t), SERIES, "crisis_dummy", extend=2, lag=2, skip=3))
 
 
 def grid(t, d=None):
