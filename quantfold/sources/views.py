@@ -55,7 +55,15 @@ class Tables:
     # ---- market data -------------------------------------------------
     @functools.cached_property
     def prices(self) -> DataFrame:
-        return prices_view(self.raw("events"))
+        """Daily closes, written once to the checkpoint folder.
+
+        Every market job reads prices several times (positions, growth,
+        index, scalar subqueries); materialising the ticker × day table —
+        far smaller than the event stream — means the events are scanned
+        once per job instead of once per use.
+        """
+        from ..session import cut_lineage
+        return cut_lineage(prices_view(self.raw("events")))
 
     @property
     def index_prices(self) -> DataFrame:
