@@ -137,11 +137,18 @@ def block_number(df: DataFrame, keys, order, n: int, out: str = "block") -> Data
 def blank_repeats(df: DataFrame, col: str, order, out: str | None = None) -> DataFrame:
     """f12: keep the first occurrence of a value, NULL on later repeats.
 
-    Partitioned by a hash of the value, so each distinct text is one window
-    group; a heavily repeated text is still one sorted run of its copies.
+    The first position of every distinct value is a hash aggregate (partial
+    aggregation collapses a text repeated a million times per task); it is
+    joined back on (value hash, position), and positions are unique, so the
+    copies of a hot value spread over all partitions.
     """
-    rn = F.row_number().over(Window.partitionBy(F.xxhash64(col), F.col(col)).orderBy(*_order(order)))
-    return df.withColumn(out or col, F.when(rn == 1, F.col(col)))
+    order = _order(order)
+    h = F.xxhash64(col)
+    first = (df.groupBy(h.alias("__h"), F.col(col).alias("__v"))
+               .agg(F.min(F.struct(*[F.col(o) for o in order])).alias("__f"))
+               .select("__h", *[F.col(f"__f.{o}").alias(o) for o in order], F.lit(True).alias("__first")))
+    j = df.withColumn("__h", h).join(first, ["__h", *order], "left")
+    return j.withColumn(out or col, F.when(F.col("__first"), F.col(col))).drop("__h", "__first")
 
 
 def skip_first(df: DataFrame, keys, order, n: int) -> DataFrame:
@@ -192,28 +199,47 @@ def reindex(df: DataFrame, keys, date_col: str, step_months: int, extend: int =
 
 # ---- d06 --------------------------------------------------------------------------
 def asof_backward(left: DataFrame, right: DataFrame, keys, left_date: str, right_date: str,
-                  value_cols: Sequence[str]) -> DataFrame:
+                  value_cols: Sequence[str], bucket: str = "month") -> DataFrame:
     """d06: attach to each left row the latest right row with right_date <= left_date.
 
-    Both sides are unioned, tagged by side, and ``last(struct, ignorenulls)``
-    runs over (key ORDER BY date, side): one shuffle on the key and one sort,
-    linear in both inputs. Right rows sort before left rows on the same date,
-    so equal dates match. Carrying a struct keeps NULL right values exact.
+    Skew-safe two-level plan (a key may hold a third of all rows):
+
+    1. both sides are unioned and tagged; ``last(struct, ignorenulls)`` over
+       (key, bucket ORDER BY date, side) finds a match inside the same
+       calendar bucket — a hot key is spread over its buckets;
+    2. the last right row of every (key, bucket) is a hash aggregate, and a
+       window over one row per (key, bucket) — calendar-sized — carries the
+       latest earlier-bucket match forward;
+    3. a many-to-one join on (key, bucket) fills rows without an in-bucket match.
+
+    Right rows sort before left rows on equal dates, so equal dates match.
+    Carrying a struct keeps NULL right values exact.
     """
     keys = _keys(keys)
     lcols = left.columns
     rstruct = F.struct(*[F.col(v) for v in value_cols])
+    rtype = right.select(rstruct.alias("x")).schema["x"].dataType
+    ltype = left.select(F.struct(*[F.col(c) for c in lcols]).alias("x")).schema["x"].dataType
+    kk = [f"__k_{k}" for k in keys]
     l_side = left.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(left_date).alias("__d"),
                          F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in lcols]).alias("__l"),
-                         F.lit(None).cast(right.select(rstruct.alias("x")).schema["x"].dataType).alias("__r"))
+                         F.lit(None).cast(rtype).alias("__r"))
     r_side = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(right_date).alias("__d"),
-                          F.lit(0).alias("__side"),
-                          F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in lcols]).alias("x")).schema["x"].dataType).alias("__l"),
-                          rstruct.alias("__r"))
-    w = (Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__d", "__side")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = l_side.unionByName(r_side).withColumn("__m", F.last("__r", ignorenulls=True).over(w))
-    return u.where(F.col("__side") == 1).select("__l.*", *[F.col(f"__m.{v}").alias(v) for v in value_cols])
+                          F.lit(0).alias("__side"), F.lit(None).cast(ltype).alias("__l"), rstruct.alias("__r"))
+    u = l_side.unionByName(r_side).withColumn("__b", F.trunc("__d", bucket))
+    w_in = (Window.partitionBy(*kk, "__b").orderBy("__d", "__side")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("__m", F.last("__r", ignorenulls=True).over(w_in))
+    lefts = u.where(F.col("__side") == 1)
+    # latest right row per (key, bucket), then carried across buckets
+    rb = (r_side.withColumn("__b", F.trunc("__d", bucket)).groupBy(*kk, "__b")
+          .agg(F.max_by("__r", F.struct("__d")).alias("__rl")).withColumn("__s", F.lit(1)))
+    lb = lefts.select(*kk, "__b").distinct().withColumn("__rl", F.lit(None).cast(rtype)).withColumn("__s", F.lit(0))
+    w_b = Window.partitionBy(*kk).orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = (lb.unionByName(rb).withColumn("__c", F.last("__rl", ignorenulls=True).over(w_b))
+               .where(F.col("__s") == 0).select(*kk, "__b", "__c"))
+    out = lefts.join(carry, [*kk, "__b"], "left").withColumn("__m", F.coalesce("__m", "__c"))
+    return out.select("__l.*", *[F.col(f"__m.{v}").alias(v) for v in value_cols])
 
 
 # ---- d09 ----------------------------------------------------------------------------
