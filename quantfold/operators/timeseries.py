@@ -213,7 +213,9 @@ def asof_backward(left: DataFrame, right: DataFrame, keys, left_date: str, right
     3. a many-to-one join on (key, bucket) fills rows without an in-bucket match.
 
     Right rows sort before left rows on equal dates, so equal dates match.
-    Carrying a struct keeps NULL right values exact.
+    Carrying a struct keeps NULL right values exact. The left input is read
+    twice (rows and their buckets): pass a materialised frame when it is the
+    output of an expensive pipeline.
     """
     keys = _keys(keys)
     lcols = left.columns

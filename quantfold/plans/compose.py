@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_flag
 from ..operators import panel as P
 from ..operators import timeseries as ts
+from ..session import cut_lineage
 
 # Fixed values of the statement clean-up (the reference works on the same
 # kind of lists: synonym renames, sheet order, a hand-kept drop list).
@@ -46,11 +47,11 @@ def wide_statements(statements: DataFrame) -> DataFrame:
 def month_spine(monthly: DataFrame, key: str = "series", date_col: str = "date") -> DataFrame:
     """Every month between the global first and last month, for every key.
 
-    Bounds are scalar subqueries; rows are generated per key with
+    Bounds come from one scalar subquery; rows are generated per key with
     ``sequence`` (keys × months is the output itself, not a join).
     """
-    lo = monthly.select(F.min(date_col)).scalar()
-    hi = monthly.select(F.max(date_col)).scalar()
+    b = monthly.select(F.struct(F.min(date_col).alias("lo"), F.max(date_col).alias("hi"))).scalar()
+    lo, hi = b["lo"], b["hi"]  # one scalar subquery for both bounds
     n = F.months_between(hi, lo).cast("int")
     return (monthly.select(key).distinct()
             .select(key, F.explode(F.sequence(F.lit(0), n)).alias("__i"))
@@ -102,6 +103,9 @@ def model_panel(statements: DataFrame, macro_wide: DataFrame, daily: DataFrame,
     # optimizer's size estimate (or AQE at run time) makes this a broadcast join
     df = wide.join(macro, "date")
     df = df.withColumn("gfc_recession", date_flag("date", *gfc))
+    # companies × periods: small, and read several times below (quartile edges,
+    # the as-of join's buckets and rows) — materialise it once
+    df = cut_lineage(df)
     df = P.quartile_dummies(df, "market_cap", "quartile_")
     df = ts.distance_from_max(df, "company", "date", "market_cap", "change_ath", lookahead=True)
     df = ts.lag_by(df, "company", "date", "market_cap", 1, "market_cap_lag")
