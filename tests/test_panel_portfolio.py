@@ -91,3 +91,42 @@ def test_every_20th_and_last(spark):
 def test_title_case(spark):
     df = spark.createDataFrame([("ebit/trading rev.",), ("CL - total assets",)], "s string")
     assert [r[0] for r in rows(df.select(P.title_case("s")))] == ["Ebit/Trading Rev.", "Cl - Total Assets"]
+
+
+@pytest.mark.parametrize("mode", ["clamp", "exit_once"])
+def test_exit_modes_match_dense_matrix(spark, mode):
+    import random
+    rnd = random.Random(11)
+    tick = [(0, 0.2), (1, -0.3), (2, 0.06), (3, -0.08), (4, 0.0)]
+    fc = spark.createDataFrame([(t, 10.0, 10.0 * (1 + c)) for t, c in tick],
+                               "ticker int, market_cap double, market_cap_forecast double")
+    data = [(t, dt.date(2024, 1, d), round(10.0 * (1 + rnd.uniform(-0.4, 0.4)), 2))
+            for t, _ in tick for d in range(1, 21) if rnd.random() > 0.25 and not (t == 3 and d < 6)]
+    pr = spark.createDataFrame(data, "ticker int, date date, close double")
+    idx = pr.groupBy("date").agg(F.avg("close").alias("close"))
+    got = dict(rows(pf.portfolio_curve_exit(fc, pr, idx, mode), "date", "portfolio"))
+    px = {(t, d): c for t, d, c in data}
+    dates = sorted(got)
+    size = {t: (1000.0 if c >= 0.05 else -1000.0 if c <= -0.05 else 0.0) for t, c in tick}
+    tgt = {t: size[t] * (1 + c) for t, c in tick}
+
+    def clamp(v, t):
+        return min(v, t) if v >= 0 else max(v, t)
+
+    def hit(v, t):
+        return v > t if v >= 0 else v < t
+
+    frozen = {t: False for t, _ in tick}
+    for i, d in enumerate(dates):
+        total = 0.0
+        for t, _ in tick:
+            seen = [px[(t, x)] for x in dates[: i + 1] if (t, x) in px]
+            v = size[t] * (seen[-1] / seen[0] if seen else 1.0)
+            if mode == "clamp":
+                v = clamp(v, tgt[t])
+            else:
+                frozen[t] = frozen[t] or hit(v, tgt[t])
+                v = tgt[t] if frozen[t] else v
+            total += v
+        want = 0.0 if i == 0 else total - sum(size.values())
+        assert got[d] == pytest.approx(want, abs=1e-9), (mode, d)
