@@ -27,9 +27,18 @@ from ..functions.nulls import safe_div
 
 
 # ---- sentences / paragraphs (h08, h10, f11, c07) ----------------------------------
-def explode_sentences(df: DataFrame, text_col: str, out: str = "sentence", pos: str = "sent_no") -> DataFrame:
-    """h08/c07: one row per '. '-separated piece, keeping its position."""
-    return df.select("*", F.posexplode(T.split_sentences(text_col)).alias(pos, out))
+def explode_sentences(df: DataFrame, text_col: str, out: str = "sentence", pos: str = "sent_no",
+                      skip_if_contains: str | None = None) -> DataFrame:
+    """h08/c07: one row per '. '-separated piece, keeping its position.
+
+    ``skip_if_contains`` drops whole texts containing a phrase inside the
+    generator (no separate filter on the derived text, which the optimizer
+    would push below the projection and so evaluate the text twice).
+    """
+    arr = T.split_sentences(text_col)
+    if skip_if_contains is not None:
+        arr = F.when(F.col(text_col).contains(skip_if_contains), F.array().cast("array<string>")).otherwise(arr)
+    return df.select("*", F.posexplode(arr).alias(pos, out))
 
 
 def sentences_with_paragraphs(df: DataFrame, text_col: str, size: int = 3) -> DataFrame:
@@ -123,17 +132,22 @@ def similarity_to_corpus(df: DataFrame, id_cols: Sequence[str], text_col: str, c
     mean_j cos(d, c_j) = (d / |d|) · mean_j (c_j / |c_j|). One pass over the
     texts: tokens are exploded (outer, so a text without tokens keeps a row),
     counted per (text, token), left-joined to the centroid and summed per
-    text. Texts without a known term score 0; NULL/empty texts are dropped.
+    text. A text without a known term scores 0; a NULL or empty text gets a
+    NULL score. The emptiness flag is computed beside the tokens rather than
+    filtered on, because a filter on a derived text column is pushed below
+    its projection and would evaluate the whole cleaning expression twice.
     """
     ids = list(id_cols)
-    src = df.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    toks = src.select(*ids, F.explode_outer(T.tokens(text_col)).alias("token"))
-    counts = toks.groupBy(*ids, "token").agg(F.count("token").alias("tf"))
+    t = F.col(text_col)
+    toks = df.select(*ids, (t.isNull() | (F.length(t) == 0)).alias("__e"), F.explode_outer(T.tokens(text_col)).alias("token"))
+    counts = toks.groupBy(*ids, "__e", "token").agg(F.count("token").alias("tf"))
     j = counts.join(centroid, "token", "left")
-    per = j.groupBy(*ids).agg(
+    per = j.groupBy(*ids, "__e").agg(
         F.sum(F.col("tf") * F.col("idf") * F.col("c")).alias("__dot"),
         F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("__norm"))
-    return per.select(*ids, F.coalesce(safe_div(F.col("__dot"), F.col("__norm")), F.lit(0.0)).alias(out))
+    score = F.when(F.col("__e"), F.lit(None).cast("double")).otherwise(
+        F.coalesce(safe_div(F.col("__dot"), F.col("__norm")), F.lit(0.0)))
+    return per.select(*ids, score.alias(out))
 
 
 # ---- selection (g02, g06, b12, h06) ---------------------------------------------------------

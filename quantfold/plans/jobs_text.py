@@ -75,12 +75,13 @@ def centroid_ctes():
 def sql_scores(src: str, ids: str, txt: str) -> list[tuple[str, str]]:
     """CTEs scoring ``txt`` of table ``src`` keyed by ``ids`` -> table ``scored(ids..., score)``."""
     return [
-        ("dsrc", f"SELECT {ids}, {txt} AS txt FROM {src} WHERE {txt} IS NOT NULL AND length({txt}) > 0"),
+        ("dsrc", f"SELECT {ids}, {txt} AS txt, ({txt} IS NULL OR length({txt}) = 0) AS empty FROM {src}"),
         ("dtok", f"SELECT {ids}, unnest(regexp_extract_all(lower(txt), {TOKEN_RE}, 1)) AS token FROM dsrc"),
         ("dtf", f"SELECT {ids}, token, count(*) AS tf FROM dtok GROUP BY ALL"),
         ("per", f"""SELECT {ids}, sum(tf * cen.idf * cen.c) AS dot, sqrt(sum(pow(tf * cen.idf, 2))) AS norm
                    FROM dtf JOIN cen USING (token) GROUP BY {ids}"""),
-        ("scored", f"SELECT {ids}, coalesce(per.dot / nullif(per.norm, 0), 0.0) AS score FROM dsrc LEFT JOIN per USING ({ids})"),
+        ("scored", f"""SELECT {ids}, CASE WHEN dsrc.empty THEN NULL ELSE coalesce(per.dot / nullif(per.norm, 0), 0.0) END AS score
+                      FROM dsrc LEFT JOIN per USING ({ids})"""),
     ]
 
 
@@ -334,8 +335,7 @@ def g02(t):
 
 def sentence_selection(t, fraction: float = 0.025, min_hits: int = 5):
     """h18: clean → exclude → split → distinct → score → digit/length filter → top share → lexicon → replace."""
-    pages = pages_clean(t).where(~F.col("content").contains("notes to the"))
-    s = X.explode_sentences(pages, "content")
+    s = X.explode_sentences(pages_clean(t), "content", skip_if_contains="notes to the")
     s = X.first_by(s, "sentence", ["report_id", "page_no", "sent_no"], ["report_id", "page_no", "sent_no"])
     s = s.where((T.digit_count("sentence") < 3) & (F.length("sentence") > 100))
     cen = X.corpus_centroid(minutes_clean(t), "doc_id", "content")
