@@ -21,6 +21,9 @@ vectors        embeddings with their given cluster label
 
 Nothing here collects or broadcasts; joins are left to the optimizer (dims
 are tiny parquet files, so the static size estimate already broadcasts them).
+``prices`` is the one materialised view: it is read several times per market
+job and is far smaller than the event stream, so it is written once to the
+checkpoint folder and the events are scanned once per job.
 """
 
 from __future__ import annotations
