@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_flag
 from ..operators import panel as P
 from ..operators import timeseries as ts
-from ..session import cut_lineage
+from ..session import reuse
 
 # Fixed values of the statement clean-up (the reference works on the same
 # kind of lists: synonym renames, sheet order, a hand-kept drop list).
@@ -68,7 +68,9 @@ def quarterly_macro(macro_obs: DataFrame, series: Sequence[str], names: Sequence
     month, forward-fill within each series, keep quarter-end months, pivot
     over the supplied series list, drop incomplete dates, add the dummy.
     """
-    m = ts.monthly_last(macro_obs, "series", "obs_date", "value", "obs_id")
+    # series × months: tiny, and read three times (spine bounds, spine keys, join) —
+    # kept so the observation table is aggregated once
+    m = reuse(ts.monthly_last(macro_obs, "series", "obs_date", "value", "obs_id"))
     s = month_spine(m).join(m, ["series", "date"], "left")
     if lead_series is not None:
         led = F.lead("value").over(ts.win("series", "date"))
@@ -104,13 +106,14 @@ def model_panel(statements: DataFrame, macro_wide: DataFrame, daily: DataFrame,
     df = wide.join(macro, "date")
     df = df.withColumn("gfc_recession", date_flag("date", *gfc))
     # companies × periods: small, and read several times below (quartile edges,
-    # the as-of join's buckets and rows) — materialise it once
-    df = cut_lineage(df)
+    # the as-of join's buckets and rows) — keep it
+    df = reuse(df)
     df = P.quartile_dummies(df, "market_cap", "quartile_")
     df = ts.distance_from_max(df, "company", "date", "market_cap", "change_ath", lookahead=True)
     df = ts.lag_by(df, "company", "date", "market_cap", 1, "market_cap_lag")
     r = ts.pct_change(daily, "company", "day", "close", "ret")
     r = ts.expanding_std(r, "company", "day", "ret", "rolling_std").select("company", "day", "rolling_std")
+    r = reuse(r)  # companies × days, read twice by the as-of join
     df = ts.asof_backward(df, r, "company", "date", "day", ["rolling_std"])
     df = P.drop_nulls(df, ["rolling_std"])
     return ts.pct_change(df, "company", "date", "market_cap", "market_cap_change")

@@ -185,8 +185,10 @@ def d06(t):
     """Latest half-year panel row at or before each order's date (backward as-of)."""
     o = t.orders.select("o_orderkey", F.col("o_custkey").alias("company"),
                         F.to_date("o_orderdate").alias("order_date"))
-    p = t.panel("customer").select("company", F.col("date").alias("panel_date"), "market_cap",
-                                   F.col("date").alias("panel_date_key"))
+    from ..session import reuse
+    # the half-year panel (customers × periods) is read twice by the as-of join: keep it
+    p = reuse(t.panel("customer").select("company", F.col("date").alias("panel_date"), "market_cap",
+                                               F.col("date").alias("panel_date_key")))
     r = ts.asof_backward(o, p, "company", "order_date", "panel_date_key", ["panel_date", "market_cap"])
     return r.select("o_orderkey", "order_date", "panel_date", "market_cap")
 

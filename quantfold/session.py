@@ -51,6 +51,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a small intermediate that one plan reads several times.
+
+    Disk-backed ``persist``: blocks are computed once and shared by every
+    consumer; a lost executor only means recomputation from lineage. Used
+    for calendar- or entity-sized tables, never for raw-data-sized ones
+    (those go through ``cut_lineage``).
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
