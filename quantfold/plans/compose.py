@@ -29,19 +29,30 @@ def sheet_rank(col: str = "sheet"):
     return m[F.col(col)]
 
 
-def clean_statements(statements: DataFrame) -> DataFrame:
-    """b01 + c03 + b23: synonym renames, first-wins de-duplication, mostly-zero items dropped."""
+def renamed_statements(statements: DataFrame) -> DataFrame:
+    """b01 + c03: synonym renames, then first-wins de-duplication."""
     st = statements.withColumn("src_item", F.col("item"))
     st = P.rename_items(st, "item", ITEM_RENAMES)
-    st = P.first_wins(st, ["company", "period", "item"], F.struct(sheet_rank(), F.col("src_item")))
-    return P.drop_mostly_zero(st, "item", "value", 0.5)
+    return P.first_wins(st, ["company", "period", "item"], F.struct(sheet_rank(), F.col("src_item")))
+
+
+def clean_statements(statements: DataFrame) -> DataFrame:
+    """b01 + c03 + b23: synonym renames, first-wins de-duplication, mostly-zero items dropped."""
+    return P.drop_mostly_zero(renamed_statements(statements), "item", "value", 0.5)
 
 
 def wide_statements(statements: DataFrame) -> DataFrame:
-    """c01/d01: cleaned long statements -> one row per (company, date)."""
-    st = clean_statements(statements)
+    """c01/d01: cleaned long statements -> one row per (company, date).
+
+    Items dropped as mostly zero (b23) disappear as columns, as a dropped
+    column does; the dropped list is read once (at most the fixed item count).
+    """
+    st = renamed_statements(statements)
+    dropped = {r[0] for r in P.zero_share_items(st, "item", "value", 0.5).select("item").collect()}
+    keep = [(i, n) for i, n in zip(PANEL_ITEMS, PANEL_NAMES) if i not in dropped]
+    st = st.where(~F.col("item").isin(list(dropped))) if dropped else st
     return P.pivot_items(st.withColumnRenamed("period", "date"), ["company", "date"], "item", "value",
-                         PANEL_ITEMS, PANEL_NAMES)
+                         [i for i, _ in keep], [n for _, n in keep])
 
 
 def month_spine(monthly: DataFrame, key: str = "series", date_col: str = "date") -> DataFrame:

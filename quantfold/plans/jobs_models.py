@@ -38,6 +38,11 @@ def split(t):
     return p, p.where("is_train"), p.where(~F.col("is_train"))
 
 
+def features(df) -> list[str]:
+    """Model inputs that exist (a statement item dropped as mostly zero has no column)."""
+    return [c for c in FEATURES if c in df.columns]
+
+
 # ---- SQL-checked ---------------------------------------------------------------------------------
 @register("i01_seeded_split", with_views(["panel_customer"], """
 SELECT company, date, substring(md5(concat_ws('|', CAST(company AS VARCHAR), CAST(date AS VARCHAR)) || '42'), 1, 2) < 'c0' AS is_train,
@@ -80,14 +85,14 @@ def i10(t):
 def i04(t):
     """Assembled feature vectors of the model panel (rows with a NULL feature skipped)."""
     p = model_panel(t)
-    return M.assembler(FEATURES).transform(p).select("company", "date", vector_to_array("features").alias("features"), "label")
+    return M.assembler(features(p)).transform(p).select("company", "date", vector_to_array("features").alias("features"), "label")
 
 
 @register("i05_random_forest")
 def i05(t):
     """Random forest on the train split; predictions for the test split."""
     _, tr, te = split(t)
-    _, pred = M.fit_predict(tr, te, FEATURES, M.forest())
+    _, pred = M.fit_predict(tr, te, features(tr), M.forest())
     return pred.select("company", "date", "label", "prediction")
 
 
@@ -96,7 +101,7 @@ def i05_scaled(t):
     """Scaled features and label: scaler, forest and inverse scaling kept together."""
     p, tr, te = split(t)
     stats = M.minmax_stats(tr, ["label"])
-    _, pred = M.fit_predict(M.minmax_scale(tr, ["label"], stats), te, FEATURES, M.forest(), scale=True)
+    _, pred = M.fit_predict(M.minmax_scale(tr, ["label"], stats), te, features(tr), M.forest(), scale=True)
     back = pred.withColumn("prediction", F.col("prediction") * (stats["label_max"] - stats["label_min"]) + stats["label_min"])
     return back.select("company", "date", "label", "prediction")
 
@@ -105,7 +110,7 @@ def i05_scaled(t):
 def i06(t):
     """Cross-validated forest grid (8 combinations × 4 folds), RMSE per combination."""
     _, tr, _ = split(t)
-    _, rows, _ = M.grid_search(tr, FEATURES, FOREST_GRID)
+    _, rows, _ = M.grid_search(tr, features(tr), FOREST_GRID)
     spark = t.spark
     data = [(int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), bool(p["bootstrap"]), float(m))
             for p, m in rows]
@@ -116,23 +121,23 @@ def i06(t):
 def i07(t):
     """Forest feature importances with feature names."""
     _, tr, te = split(t)
-    model, _ = M.fit_predict(tr, te, FEATURES, M.forest())
-    return t.spark.createDataFrame(M.importances(model, FEATURES), "feature string, importance double")
+    model, _ = M.fit_predict(tr, te, features(tr), M.forest())
+    return t.spark.createDataFrame(M.importances(model, features(tr)), "feature string, importance double")
 
 
 @register("g08_importance_rank")
 def g08(t):
     """Features ranked by importance."""
     _, tr, te = split(t)
-    model, _ = M.fit_predict(tr, te, FEATURES, M.forest())
-    return M.rank_importances(t.spark, M.importances(model, FEATURES))
+    model, _ = M.fit_predict(tr, te, features(tr), M.forest())
+    return M.rank_importances(t.spark, M.importances(model, features(tr)))
 
 
 @register("i08_score_latest")
 def i08(t):
     """Fit on the train split, score the latest date: (company, forecast, actual)."""
     p, tr, te = split(t)
-    model, _ = M.fit_predict(tr, te, FEATURES, M.forest())
+    model, _ = M.fit_predict(tr, te, features(tr), M.forest())
     full = C.model_panel(t.statements, macro_wide(t), C.company_daily(t.orders, t.customer))
     out = M.score_latest(model, full)
     return out.select("company", F.col("prediction").alias("market_cap_forecast"), "market_cap")
@@ -148,7 +153,7 @@ def i09(t):
 def i16(t):
     """L1 regression, regParam chosen by 4-fold CV; test-split predictions."""
     _, tr, te = split(t)
-    model, _, _ = M.grid_search(tr, FEATURES, {"regParam": [0.1, 0.01, 0.001, 0.0001]}, base=M.lasso())
+    model, _, _ = M.grid_search(tr, features(tr), {"regParam": [0.1, 0.01, 0.001, 0.0001]}, base=M.lasso())
     return model.transform(te).select("company", "date", "label", "prediction")
 
 
@@ -156,7 +161,7 @@ def i16(t):
 def i17(t):
     """Gradient-boosted trees; test-split predictions."""
     _, tr, te = split(t)
-    _, pred = M.fit_predict(tr, te, FEATURES, M.boosted())
+    _, pred = M.fit_predict(tr, te, features(tr), M.boosted())
     return pred.select("company", "date", "label", "prediction")
 
 

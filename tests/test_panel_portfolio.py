@@ -130,3 +130,19 @@ def test_exit_modes_match_dense_matrix(spark, mode):
             total += v
         want = 0.0 if i == 0 else total - sum(size.values())
         assert got[d] == pytest.approx(want, abs=1e-9), (mode, d)
+
+
+def test_mostly_zero_item_disappears_from_wide_panel(spark):
+    from quantfold.plans import compose as C
+    rows_ = []
+    for p, d in enumerate([dt.date(2020, 6, 30), dt.date(2020, 12, 31), dt.date(2021, 6, 30)]):
+        rows_ += [(1, "Profit Loss", "Revenue", d, 10.0 + p), (1, "Profit Loss", "Tax", d, 0.0 if p < 2 else 1.0),
+                  (1, "Balance Sheet", "Market Cap.", d, 100.0 + p), (1, "Balance Sheet", "Units", d, 5.0),
+                  (1, "Cash Flow", "Discounts", d, 2.0), (1, "Cash Flow", "Returns", d, 3.0),
+                  (1, "Ratio Analysis", "Share Price", d, 4.0), (1, "Ratio Analysis", "Return Rate", d, 0.1)]
+    st = spark.createDataFrame(rows_, "company bigint, sheet string, item string, period date, value double")
+    wide = C.wide_statements(st)
+    assert "tax" not in wide.columns and "revenue" in wide.columns
+    got = {r["date"]: r["cash_adjustments"] for r in wide.collect()}
+    assert set(got.values()) == {2.0}  # Discounts wins over Returns (same sheet, source-item order)
+    assert wide.dropna().count() == 3
