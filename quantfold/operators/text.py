@@ -93,14 +93,14 @@ def lexicon(minutes_clean: DataFrame, text_col: str = "content", k: int = 200,
 
 
 # ---- TF-IDF and similarity (h12, h13, d08) -----------------------------------------
-def tfidf_model(corpus: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def tfidf_model(corpus: DataFrame, id_col: str, text_col: str, n: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """h12 fit: (idf per term, unit TF-IDF weights of the corpus).
 
     idf = ln((1 + n) / (1 + df)) + 1 (smoothed); weights are L2-normalised
     per corpus document. The corpus document count is a scalar subquery.
     """
     counts = token_rows(corpus, [id_col], text_col).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
-    n = corpus.select(F.count(F.lit(1))).scalar()
+    n = corpus.select(F.count(F.lit(1))).scalar() if n is None else n
     idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")) \
         .select("token", (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = counts.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
@@ -119,8 +119,8 @@ def tfidf_transform(df: DataFrame, id_cols: Sequence[str], text_col: str, idf: D
 
 def corpus_centroid(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Mean of the unit corpus vectors per term, with the term's idf: (token, idf, c)."""
-    idf, unit = tfidf_model(corpus, id_col, text_col)
-    m = corpus.select(F.count(F.lit(1))).scalar()
+    m = corpus.select(F.count(F.lit(1))).scalar()  # one count: idf's n and the mean's m
+    idf, unit = tfidf_model(corpus, id_col, text_col, m)
     cen = unit.groupBy("token").agg((F.sum("w") / m).alias("c"))
     return idf.join(cen, "token")
 
