@@ -132,3 +132,10 @@ def scan(docs: DataFrame, bench: DataFrame, *, size: int = 10, slack: int = 5, n
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"),
                     (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
+
+
+def remove(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` without a benchmark phrase; rows are told apart by doc_id and text."""
+    found = scan(docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text"), bench, **options)
+    bad = found.filter("contaminated").select(F.col("doc_id.doc_id").alias("__d"), F.col("doc_id.t").alias("__t")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__t"]), "left_anti")
