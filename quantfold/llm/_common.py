@@ -56,6 +56,15 @@ class Shared:
         return self._value
 
 
+#: Rows of a few numbers that may be broadcast; larger tables take a shuffled join.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint when it is counted to be small (``df`` is materialised)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; pure ASCII texts take the engine's fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -30,11 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import lower_ascii, materialise, stored
+from ._common import lower_ascii, materialise, small, stored
 
 #: Everything ASCII but letters (lower case) and digits separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -44,11 +43,6 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, SEPARATORS)).otherwise(F.array().cast("array<string>"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it is counted to be small (``df`` is materialised)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def item_words(bench: DataFrame) -> DataFrame:
     """(item, item_id, length, offset, word): one row per item word."""
     items = bench.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()

@@ -10,8 +10,10 @@ documents link when ``100 * |A & B| >= percent * |A | B|``. Steps:
 2. **Fragments.** The order is cut at equal shares of all occurrences into
    ``fragments`` pieces (a lookup from sketch cell to piece).
 3. **Equal sets collapse** to their smallest doc_id, so copies never pair.
-4. **Candidates** share an n-gram among the rarest ``n - ceil(p n) + 1`` of
-   both sets (no linked pair can miss this). A bucket of m sets does not emit
+4. **Candidates** share an n-gram among the rarest ``n - ceil(p n) + l`` of
+   both sets, ``l = min(16, ceil(p n))``; a set that shares less than l of its
+   own rarest with any other set links with none (two linked sets share l of
+   them). A bucket of m sets does not emit
    its m^2 pairs: its members meet one pivot a round; members that ended up in
    one component need no further meeting. Once the members outside a
    bucket's largest component are few, they meet the rest directly. Every
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, components, materialise, shingle_hashes, slices
+from ._common import Shared, Words, components, materialise, shingle_hashes, slices, small
 
 #: Cells of the counting sketch that orders n-grams (its size never depends on the data).
 SKETCH_CELLS = 1 << 18
@@ -104,8 +106,13 @@ def fragment_of_cells(cells: np.ndarray, fragments: int) -> np.ndarray:
     return out
 
 
+#: Rare n-grams that two linked sets must share (fewer where the sets are smaller).
+SHARED = 16
+
+
 def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    least = -(-percent * n // 100)
+    return n - least + min(SHARED, least)
 
 
 def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int = 4) -> DataFrame:
@@ -113,8 +120,7 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cells = count_sketch(docs, size)
-    shared = spark.sparkContext.broadcast(
-        (np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32), fragment_of_cells(cells, fragments)))
+    shared = Shared(spark, (np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32), fragment_of_cells(cells, fragments)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value[0]
@@ -132,25 +138,36 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                 names=["doc_id", "n", "fp", "rare"])
 
     described = materialise(docs.mapInArrow(describe, "doc_id long, n long, fp binary, rare array<long>"))
-    classes = materialise(described.groupBy("n", "fp").agg(F.min("doc_id").alias("rep")))
-    reps = (classes.filter("n > 0 AND rep IS NOT NULL").groupBy("rep")
-            .agg(F.min(F.struct("n", "fp")).alias("s")).select(F.col("rep").alias("node"), "s.n", "s.fp"))
-    entries = (described.select("doc_id", "fp", "rare")
-               .join(reps.select(F.col("node").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi")
-               .select(F.col("doc_id").alias("node"), F.explode("rare").alias("h")).distinct())
-    buckets = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).filter("m > 1")
-    members = materialise(entries.join(buckets.select("h", "pivot"), "h"))
-    pieces = _pieces(docs, members, reps, shared, size)
-    sizes = materialise(reps.select("node", "n").join(members.select("node").distinct(), "node"))
+    classes = materialise(described.groupBy("n", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    # an id with several texts: only the one with fewest n-grams is a node
+    twice = (classes.filter("n > 0").groupBy("rep").agg(F.count("*").alias("k"), F.min(F.struct("n", "fp")).alias("s"))
+             .filter("k > 1").select(F.col("rep").alias("node"), "s.fp"))
+    not_nodes = materialise(classes.filter("n > 0").join(
+        twice, (F.col("rep") == F.col("node")) & (classes["fp"] != twice["fp"]), "left_semi").select("n", "fp"))
+    reps = (classes.filter("n > 0 AND rep IS NOT NULL").join(small(not_nodes), ["n", "fp"], "left_anti")
+            .select(F.col("rep").alias("node"), "n", "fp"))
+    # copies leave before their n-grams are listed: only classes of several rows need a look
+    several = materialise(classes.filter("rows > 1").select("n", "fp", "rep"))
+    entries = (described.filter("n > 0 AND doc_id IS NOT NULL").join(small(several), ["n", "fp"], "left")
+               .filter("rep IS NULL OR doc_id = rep").join(small(not_nodes), ["n", "fp"], "left_anti")
+               .select(F.col("doc_id").alias("node"), F.explode("rare").alias("h")))
+    shared_by = lambda t: t.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
+    some = materialise(entries.join(shared_by(entries).select("h"), "h").distinct())
+    enough = (some.groupBy("node").agg(F.count("*").alias("k")).join(reps.select("node", "n"), "node")
+              .filter(f"k >= least({SHARED}, ({percent} * n + 99) DIV 100)"))
+    sizes = materialise(enough.select("node", "n"))
+    members = some.join(small(sizes), "node")
+    members = materialise(members.join(shared_by(members).select("h", "pivot"), "h").select("h", "node", "n", "pivot"))
+    pieces = _pieces(docs, sizes, reps, shared, size)
 
     pairs = _fitting(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
-                     sizes, percent)
+                     members, sizes, percent)
     links = materialise(overlaps(pairs, pieces, percent))
     done = members.select("h", F.col("pivot").alias("node")).distinct()  # met by their whole bucket
     while True:
         labels = components(links)
-        left = materialise(members.select("h", "node").join(done, ["h", "node"], "left_anti")
-                           .join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c")))
+        left = materialise(members.select("h", "node", "n").join(done, ["h", "node"], "left_anti")
+                           .join(small(labels), "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c")))
         counts = left.groupBy("h", "c").agg(F.count("*").alias("k"))
         # k and c packed into one number order: the largest component of a bucket, ties by smallest label
         mixed = (counts.groupBy("h").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.count("*").alias("parts"))
@@ -161,18 +178,15 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                          F.count("*").alias("rows")).first()  # one row
         if not todo["meetings"]:
             break
-        light = open_.filter("c <> main")
-        if todo["meetings"] <= 8 * todo["rows"]:
-            met = (light.select("h", F.col("node").alias("a"), F.col("c").alias("ca"))
-                   .join(open_.select("h", F.col("node").alias("b"), F.col("c").alias("cb")), "h").filter("ca <> cb"))
-            finish = True
-        else:
-            pivots = light.groupBy("h").agg(F.min("node").alias("a")).join(
-                light.select("h", F.col("node").alias("a"), F.col("c").alias("ca")), ["h", "a"])
-            met = (pivots.join(open_.select("h", F.col("node").alias("b"), F.col("c").alias("cb")), "h").filter("ca <> cb"))
-            done = materialise(done.unionByName(pivots.select("h", F.col("a").alias("node"))))
-            finish = False
-        pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sizes, percent)
+        light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+        finish = todo["meetings"] <= 32 * todo["rows"]
+        if not finish:
+            light = light.join(light.groupBy("h").agg(F.min("a").alias("a")), ["h", "a"])
+            done = materialise(done.unionByName(light.select("h", F.col("a").alias("node"))))
+        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+        met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb"))
+                         & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members, sizes, percent)
         links = materialise(links.unionByName(overlaps(pairs, pieces, percent)).distinct())
         if finish:
             labels = components(links)
@@ -184,8 +198,8 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def _pieces(docs, members, reps, shared, size: int) -> DataFrame:
-    """(node, frag, n, grams): the sets that have a candidate, cut into fragments."""
+def _pieces(docs, sizes, reps, shared, size: int) -> DataFrame:
+    """(node, frag, n, grams): the sets that may have a link, cut into fragments."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fragment = shared.value[1]
         for batch in batches:
@@ -207,16 +221,20 @@ def _pieces(docs, members, reps, shared, size: int) -> DataFrame:
                                           pa.array(np.concatenate(grams_of) if grams_of else [], pa.int64()))],
                 names=["node", "frag", "n", "grams"])
 
-    wanted = members.select("node").distinct().join(reps, "node").select(F.col("node").alias("doc_id"), "fp")
-    rows = docs.join(wanted, "doc_id").groupBy("doc_id", "text", "fp").agg(F.lit(1).alias("one"))
-    return materialise(rows.select("doc_id", "text", "fp").mapInArrow(cut, "node long, frag int, n long, grams array<long>"))
+    wanted = materialise(sizes.select("node").join(reps.select("node", "fp"), "node").select(F.col("node").alias("doc_id"), "fp"))
+    rows = docs.join(small(wanted), "doc_id").select("doc_id", "text", "fp")
+    return materialise(rows.mapInArrow(cut, "node long, frag int, n long, grams array<long>"))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the wanted similarity."""
-    return (pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+def _fitting(pairs: DataFrame, members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the wanted similarity and that share enough rare n-grams."""
+    sized = (pairs.join(small(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))), "a")
+            .join(small(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))), "b")
             .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb"))
+    return (sized.join(members.select(F.col("node").alias("a"), "h"), "a")
+            .join(members.select(F.col("node").alias("b"), "h"), ["b", "h"])
+            .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+            .filter(f"k >= least({SHARED}, ({percent} * greatest(na, nb) + 99) DIV 100)").drop("k"))
 
 
 def overlaps(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +242,8 @@ def overlaps(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
     right = pieces.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
     left = pieces.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
     return (pairs.join(right, "b").join(left, ["a", "frag"])
-            .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+            .select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part"))
+            .groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))  # repeated rows count once
             .groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
             .filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b"))
 
