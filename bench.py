@@ -33,6 +33,7 @@ HEADLINE = [
 
 
 def run_once(spark, fn, sf_dir: str) -> float:
+    spark.catalog.clearCache()  # a run must not read what an earlier one kept
     t0 = time.perf_counter()
     fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0

@@ -164,9 +164,8 @@ def _solve_batch(p: int):
                 continue
             xx = np.stack([pdf[f"xx_{i}_{j}"].to_numpy() for i in range(p) for j in range(p)], axis=1).reshape(-1, p, p)
             xy = np.stack([pdf[f"xy_{i}"].to_numpy() for i in range(p)], axis=1)
-            beta = np.full((len(pdf), p), np.nan)
-            for k in range(len(pdf)):  # p×p systems; lstsq handles rank-deficient windows
-                beta[k] = np.linalg.lstsq(xx[k], xy[k], rcond=None)[0]
+            # all p×p systems of the batch at once; the pseudo-inverse handles rank-deficient windows
+            beta = (np.linalg.pinv(xx, rcond=p * np.finfo(float).eps, hermitian=True) @ xy[..., None])[..., 0]
             out = pdf.drop(columns=[c for c in pdf.columns if c.startswith("xx_") or c.startswith("xy_")])
             for i in range(p):
                 out[f"b{i}"] = beta[:, i]
@@ -178,7 +177,8 @@ def backtest_multi(design: DataFrame, grid: DataFrame, xcols: Sequence[str], n_t
     """i13: weighted least squares with an intercept and several regressors, 1-step-ahead backtest.
 
     Spark forms Σ w·x·xᵀ and Σ w·x·y per (target, grid point, origin); a
-    ``mapInPandas`` step solves the small systems batch by batch.
+    ``mapInPandas`` step solves the small systems batch by batch. A grid point
+    with ``rho = 0`` weighs nothing and keeps its rows with a NULL prediction.
     """
     xcols = list(xcols)
     gp = _grid_origins(design, grid.where(F.col("rho") > 0), n_test)
@@ -195,4 +195,8 @@ def backtest_multi(design: DataFrame, grid: DataFrame, xcols: Sequence[str], n_t
     pred = F.col("b0")
     for i, c in enumerate(xcols, start=1):
         pred = pred + F.col(f"b{i}") * F.col(c)
-    return j.select("target", "prior_length", "rho", "date", "actual", pred.alias("pred"))
+    out = j.select("target", "prior_length", "rho", "date", "actual", pred.alias("pred"))
+    unweighted = (_grid_origins(design, grid.where(F.col("rho") <= 0), n_test)
+                  .join(_actuals(design, xcols), ["target", "r_t"]))
+    return out.unionByName(unweighted.select("target", "prior_length", "rho", "date", "actual",
+                                             F.lit(None).cast("double").alias("pred")))

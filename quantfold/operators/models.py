@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
 
-HEX = "0123456789abcdef"
 
 
 # ---- i01: split and folds --------------------------------------------------------------
@@ -40,9 +39,9 @@ def is_train(key: Column, seed: int = 42) -> Column:
 
 
 def fold_of(key: Column, seed: int = 42, folds: int = 4) -> Column:
-    """Fold number 0..folds-1 from the first hex digit of a second md5 (16 / folds digits each)."""
-    h = F.substring(F.md5(F.concat(key, F.lit(f"{seed}fold"))), 1, 1)
-    return F.floor((F.instr(F.lit(HEX), h) - 1) / (16 // folds)).cast("int")
+    """Fold number 0..folds-1: the first 32 bits of a second md5 as a fraction of the whole, times ``folds``."""
+    h = F.substring(F.md5(F.concat(key, F.lit(f"{seed}fold"))), 1, 8)
+    return F.shiftright(F.conv(h, 16, 10).cast("long") * F.lit(folds), 32).cast("int")
 
 
 # ---- i02: min-max scaling ------------------------------------------------------------------

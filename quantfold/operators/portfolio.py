@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions._util import as_col
-from ..functions.nulls import safe_div
+from ..functions.nulls import nan_to_null, safe_div
 from .timeseries import cum_index, rebase_first
 
 
@@ -48,7 +48,8 @@ def sell_hit(value, target) -> Column:
 
 def positions(forecasts: DataFrame, threshold: float = 0.05, size: float = 1000.0) -> DataFrame:
     """b17 + b19: forecast change, position size and sell target per ticker."""
-    chg = safe_div(F.col("market_cap_forecast"), F.col("market_cap")) - F.lit(1.0)
+    # a NaN would order above every threshold and open a long position
+    chg = safe_div(nan_to_null("market_cap_forecast"), nan_to_null("market_cap")) - F.lit(1.0)
     return (forecasts
             .select("ticker", "market_cap", "market_cap_forecast", chg.alias("forecast_change"))
             .withColumn("investment", position_size("forecast_change", threshold, size))

@@ -151,12 +151,21 @@ def i09(t):
 
 @register("i16_lasso_cv")
 def i16(t):
-    """L1 regression, regParam chosen by 4-fold CV; test-split predictions."""
+    """L1 regression, regParam chosen by 5-fold CV; test-split predictions."""
     _, tr, te = split(t)
+    tr = tr.withColumn("fold", M.fold_of(M.row_key("company", "date"), folds=5))
     model, _, _ = M.grid_search(tr, features(tr), {"regParam": [0.1, 0.01, 0.001, 0.0001]}, base=M.lasso())
     return model.transform(te).select("company", "date", "label", "prediction")
 
 
+@register("i16_elastic_net")
+def i16_elastic_net(t):
+    """Elastic net (regParam 0.1, mixing 0.1) on scaled features; test-split predictions."""
+    _, tr, te = split(t)
+    _, pred = M.fit_predict(tr, te, features(tr), M.lasso(0.1, 0.1), scale=True)
+    return pred.select("company", "date", "label", "prediction")
+
+
 @register("i17_boosted_trees")
 def i17(t):
     """Gradient-boosted trees; test-split predictions."""

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import half_year_end
+from ..functions.nulls import nan_to_null
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -117,7 +118,7 @@ class Tables:
 def prices_view(events: DataFrame) -> DataFrame:
     return (events
             .groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
-            .agg(F.max_by("value", "ts").alias("close")))
+            .agg(F.max_by(nan_to_null("value"), "ts").alias("close")))
 
 
 def index_view(prices: DataFrame) -> DataFrame:

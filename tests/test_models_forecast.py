@@ -90,3 +90,10 @@ def test_closest_to_centroid(spark):
                                "id long, embedding array<float>, cluster int")
     out = {c: i for c, i, _ in rows(M.closest_to_centroid(df, "cluster"))}
     assert out == {0: 3, 1: 4}
+
+
+@pytest.mark.parametrize("folds", [3, 4, 5, 20])
+def test_folds_are_all_used_and_nothing_else(spark, folds):
+    df = spark.range(3000).withColumn("d", F.lit("x"))
+    got = {r[0]: r[1] for r in df.groupBy(M.fold_of(M.row_key("id", "d"), folds=folds).alias("f")).count().collect()}
+    assert set(got) == set(range(folds)) and min(got.values()) > 3000 / folds / 2

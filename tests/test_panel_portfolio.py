@@ -146,3 +146,10 @@ def test_mostly_zero_item_disappears_from_wide_panel(spark):
     got = {r["date"]: r["cash_adjustments"] for r in wide.collect()}
     assert set(got.values()) == {2.0}  # Discounts wins over Returns (same sheet, source-item order)
     assert wide.dropna().count() == 3
+
+
+def test_nan_forecast_opens_no_position(spark):
+    f = spark.createDataFrame([("a", float("nan"), 1.0), ("b", 1.0, float("nan")), ("c", 2.0, 1.0)],
+                              "ticker string, market_cap_forecast double, market_cap double")
+    got = {r["ticker"]: (r["investment"], r["sell_price"]) for r in pf.positions(f).collect()}
+    assert got["a"] == (0.0, None) and got["b"] == (0.0, None) and got["c"] == (1000.0, 2000.0)
