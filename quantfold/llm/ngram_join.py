@@ -158,11 +158,11 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
     sizes = materialise(enough.select("node", "n"))
     members = some.join(small(sizes), "node")
     members = materialise(members.join(shared_by(members).select("h", "pivot"), "h").select("h", "node", "n", "pivot"))
-    pieces = _pieces(docs, sizes, reps, shared, size)
+    verified = lambda pairs: overlaps(pairs, lambda nodes: _pieces(docs, nodes, reps, shared, size), percent)
 
     pairs = _fitting(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
                      members, sizes, percent)
-    links = materialise(overlaps(pairs, pieces, percent))
+    links = materialise(verified(pairs))
     done = members.select("h", F.col("pivot").alias("node")).distinct()  # met by their whole bucket
     while True:
         labels = components(links)
@@ -187,7 +187,7 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
         met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb"))
                          & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
         pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members, sizes, percent)
-        links = materialise(links.unionByName(overlaps(pairs, pieces, percent)).distinct())
+        links = materialise(links.unionByName(verified(pairs)).distinct())
         if finish:
             labels = components(links)
             break
@@ -198,8 +198,8 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def _pieces(docs, sizes, reps, shared, size: int) -> DataFrame:
-    """(node, frag, n, grams): the sets that may have a link, cut into fragments."""
+def _pieces(docs, nodes, reps, shared, size: int) -> DataFrame:
+    """(node, frag, n, grams): the sets of some nodes, cut into fragments."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fragment = shared.value[1]
         for batch in batches:
@@ -221,7 +221,7 @@ def _pieces(docs, sizes, reps, shared, size: int) -> DataFrame:
                                           pa.array(np.concatenate(grams_of) if grams_of else [], pa.int64()))],
                 names=["node", "frag", "n", "grams"])
 
-    wanted = materialise(sizes.select("node").join(reps.select("node", "fp"), "node").select(F.col("node").alias("doc_id"), "fp"))
+    wanted = materialise(nodes.join(reps.select("node", "fp"), "node").select(F.col("node").alias("doc_id"), "fp"))
     rows = docs.join(small(wanted), "doc_id").select("doc_id", "text", "fp")
     return materialise(rows.mapInArrow(cut, "node long, frag int, n long, grams array<long>"))
 
@@ -237,8 +237,13 @@ def _fitting(pairs: DataFrame, members: DataFrame, sizes: DataFrame, percent: in
             .filter(f"k >= least({SHARED}, ({percent} * greatest(na, nb) + 99) DIV 100)").drop("k"))
 
 
-def overlaps(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose summed partial overlaps reach the threshold."""
+def overlaps(pairs: DataFrame, pieces_of, percent: int) -> DataFrame:
+    """Pairs (a, b) whose summed partial overlaps reach the threshold.
+
+    Only the sets that a pair needs are cut and travel.
+    """
+    pairs = materialise(pairs)
+    pieces = pieces_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     right = pieces.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
     left = pieces.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
     return (pairs.join(right, "b").join(left, ["a", "frag"])
