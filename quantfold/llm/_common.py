@@ -172,20 +172,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Labels are passed along the edges and then followed once (label of the
     label) until nothing changes, so long chains shorten geometrically. Each
     round is checkpointed. Work per round is one pass over the edges; a node
-    with very many edges is pre-aggregated (``min``) before the shuffle.
+    with very many edges is pre-aggregated (``min``) before the shuffle. The
+    labels are broadcast when there are at most ``BROADCAST_ROWS`` nodes.
     """
     both = materialise(edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
                        .unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst")))
                        .filter("src <> dst").distinct())
     labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
                          .select("node", F.least("node", "m").alias("component")))
+    few = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # holds for every round: the nodes stay
+    sent = F.broadcast if few else (lambda t: t)
     while True:
-        heard = (both.join(labels, F.col("src") == F.col("node"))
-                 .groupBy("dst").agg(F.min("component").alias("heard")))
-        near = (labels.join(heard, F.col("node") == F.col("dst"))
-                .select("node", F.col("component").alias("was"), F.least("component", "heard").alias("near")))
+        heard = both.join(sent(labels), F.col("src") == F.col("node")).select(
+            F.col("dst").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+        near = (heard.unionByName(labels.select("node", "component", F.col("component").alias("was")))
+                .groupBy("node").agg(F.min("component").alias("near"), F.max("was").alias("was")))
         up = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = materialise(near.join(up, "near").select("node", "was", F.least("near", "far").alias("component")))
+        new = materialise(near.join(sent(up), "near").select("node", "was", F.least("near", "far").alias("component")))
         changed = new.filter("component <> was").limit(1).count()
         labels = new.select("node", "component")
         if not changed:

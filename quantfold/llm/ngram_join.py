@@ -14,7 +14,7 @@ documents link when ``100 * |A & B| >= percent * |A | B|``. Steps:
    both sets, ``l = min(16, ceil(p n))``; a set that shares less than l of its
    own rarest with any other set links with none (two linked sets share l of
    them). A bucket of m sets does not emit
-   its m^2 pairs: its members meet one pivot a round; members that ended up in
+   its m^2 pairs: its members meet some pivots a round; members that ended up in
    one component need no further meeting. Once the members outside a
    bucket's largest component are few, they meet the rest directly. Every
    candidate pair is thus either verified or already connected.
@@ -108,6 +108,8 @@ def fragment_of_cells(cells: np.ndarray, fragments: int) -> np.ndarray:
 
 #: Rare n-grams that two linked sets must share (fewer where the sets are smaller).
 SHARED = 16
+#: Members of a bucket (about) that the others meet in one round after the first.
+PIVOTS = 16
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -181,13 +183,16 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
         light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
         finish = todo["meetings"] <= 32 * todo["rows"]
         if not finish:
-            light = light.join(light.groupBy("h").agg(F.min("a").alias("a")), ["h", "a"])
+            chosen = light.groupBy("h").agg(F.min("a").alias("first"), F.count("*").alias("k"))
+            light = (light.join(chosen, "h").filter(f"a = first OR pmod(xxhash64(a), k) < {PIVOTS}").drop("first", "k"))
             done = materialise(done.unionByName(light.select("h", F.col("a").alias("node"))))
         other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
         met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb"))
                          & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
         pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members, sizes, percent)
-        links = materialise(links.unionByName(verified(pairs)).distinct())
+        # the components so far stand for the links they came from
+        links = materialise(verified(pairs).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                                                        .filter("a <> b")))
         if finish:
             labels = components(links)
             break
@@ -199,42 +204,49 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
 
 
 def _pieces(docs, nodes, reps, shared, size: int) -> DataFrame:
-    """(node, frag, n, grams): the sets of some nodes, cut into fragments."""
+    """(node, is_a, only_a, frag, grams): the sets of ``nodes`` (node, is_a, only_a), cut into fragments."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fragment = shared.value[1]
         for batch in batches:
-            node, frag, count, grams_of = [], [], [], []
-            ids, prints = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            row_of, frag, grams_of = [], [], []
+            prints = batch.column(2).to_pylist()
             for row, grams in _sets(batch, size):
                 if hashlib.blake2b(grams.tobytes(), digest_size=16).digest() != prints[row]:
                     continue
                 own = fragment[(grams & _U(SKETCH_CELLS - 1)).astype(np.int64)]
                 for f in np.unique(own):
-                    node.append(ids[row])
+                    row_of.append(row)
                     frag.append(int(f))
-                    count.append(len(grams))
                     grams_of.append(grams[own == f].view(np.int64))
             ends = np.cumsum([0, *map(len, grams_of)])
+            rows = pa.array(row_of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(count, pa.int64()),
+                [batch.column(0).take(rows), batch.column(3).take(rows), batch.column(4).take(rows), pa.array(frag, pa.int32()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                           pa.array(np.concatenate(grams_of) if grams_of else [], pa.int64()))],
-                names=["node", "frag", "n", "grams"])
+                names=["node", "is_a", "only_a", "frag", "grams"])
 
-    wanted = materialise(nodes.join(reps.select("node", "fp"), "node").select(F.col("node").alias("doc_id"), "fp"))
-    rows = docs.join(small(wanted), "doc_id").select("doc_id", "text", "fp")
-    return materialise(rows.mapInArrow(cut, "node long, frag int, n long, grams array<long>"))
+    wanted = materialise(nodes.join(reps.select("node", "fp"), "node")
+                         .select(F.col("node").alias("doc_id"), "fp", "is_a", "only_a"))
+    rows = docs.join(small(wanted), "doc_id").select("doc_id", "text", "fp", "is_a", "only_a")
+    return materialise(rows.mapInArrow(cut, "node long, is_a boolean, only_a boolean, frag int, grams array<long>"))
 
 
 def _fitting(pairs: DataFrame, members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the wanted similarity and that share enough rare n-grams."""
+    """Pairs whose sizes allow the wanted similarity and that share enough rare n-grams.
+
+    A linked pair shares at least ``least`` n-grams, so a set lacks at most
+    ``n - least`` of its own in the other, also among its rare ones.
+    """
     sized = (pairs.join(small(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))), "a")
             .join(small(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))), "b")
             .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb"))
+    least = f"(({percent} * (na + nb) + {99 + percent}) DIV {100 + percent})"
+    spare = lambda n: f"{least} - ({percent} * {n} + 99) DIV 100 + least({SHARED}, ({percent} * {n} + 99) DIV 100)"
     return (sized.join(members.select(F.col("node").alias("a"), "h"), "a")
             .join(members.select(F.col("node").alias("b"), "h"), ["b", "h"])
             .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-            .filter(f"k >= least({SHARED}, ({percent} * greatest(na, nb) + 99) DIV 100)").drop("k"))
+            .filter(f"k >= least({spare('na')}, {spare('nb')})").drop("k"))
 
 
 def overlaps(pairs: DataFrame, pieces_of, percent: int) -> DataFrame:
@@ -243,9 +255,12 @@ def overlaps(pairs: DataFrame, pieces_of, percent: int) -> DataFrame:
     Only the sets that a pair needs are cut and travel.
     """
     pairs = materialise(pairs)
-    pieces = pieces_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    right = pieces.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    left = pieces.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
+    ends = (pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("first")),
+                                           F.struct(F.col("b").alias("node"), F.lit(False).alias("first")))).alias("e"))
+            .groupBy("e.node").agg(F.max("e.first").alias("is_a"), F.min("e.first").alias("only_a")))
+    pieces = pieces_of(ends)
+    right = pieces.filter("NOT only_a").select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
+    left = pieces.filter("is_a").select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
     return (pairs.join(right, "b").join(left, ["a", "frag"])
             .select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part"))
             .groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))  # repeated rows count once
