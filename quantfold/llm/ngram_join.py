@@ -110,6 +110,10 @@ def fragment_of_cells(cells: np.ndarray, fragments: int) -> np.ndarray:
 SHARED = 16
 #: Members of a bucket (about) that the others meet in one round after the first.
 PIVOTS = 16
+#: Buckets are finished directly at so many meetings a row.
+FINISH = 8
+#: Numbers (8 bytes each) of rare n-gram lists that may be broadcast; larger ones take a shuffled join.
+LIST_CELLS = 2_000_000
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -160,10 +164,14 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
     sizes = materialise(enough.select("node", "n"))
     members = some.join(small(sizes), "node")
     members = materialise(members.join(shared_by(members).select("h", "pivot"), "h").select("h", "node", "n", "pivot"))
+    # every set's shared rare n-grams, at most its own length
+    lists = materialise(members.groupBy("node", "n").agg(F.collect_list("h").alias("hs")))
+    if (lists.agg(F.sum(F.size("hs") + 4).alias("cells")).first()["cells"] or 0) <= LIST_CELLS:
+        lists = F.broadcast(lists)
     verified = lambda pairs: overlaps(pairs, lambda nodes: _pieces(docs, nodes, reps, shared, size), percent)
 
     pairs = _fitting(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
-                     members, sizes, percent)
+                     lists, percent)
     links = materialise(verified(pairs))
     done = members.select("h", F.col("pivot").alias("node")).distinct()  # met by their whole bucket
     while True:
@@ -181,7 +189,7 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
         if not todo["meetings"]:
             break
         light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-        finish = todo["meetings"] <= 32 * todo["rows"]
+        finish = todo["meetings"] <= FINISH * todo["rows"]
         if not finish:
             chosen = light.groupBy("h").agg(F.min("a").alias("first"), F.count("*").alias("k"))
             light = (light.join(chosen, "h").filter(f"a = first OR pmod(xxhash64(a), k) < {PIVOTS}").drop("first", "k"))
@@ -189,7 +197,7 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
         other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
         met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb"))
                          & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members, sizes, percent)
+        pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lists, percent)
         # the components so far stand for the links they came from
         links = materialise(verified(pairs).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
                                                         .filter("a <> b")))
@@ -232,21 +240,20 @@ def _pieces(docs, nodes, reps, shared, size: int) -> DataFrame:
     return materialise(rows.mapInArrow(cut, "node long, is_a boolean, only_a boolean, frag int, grams array<long>"))
 
 
-def _fitting(pairs: DataFrame, members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _fitting(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the wanted similarity and that share enough rare n-grams.
 
     A linked pair shares at least ``least`` n-grams, so a set lacks at most
     ``n - least`` of its own in the other, also among its rare ones.
+    ``lists`` (node, n, hs) may carry a broadcast hint.
     """
-    sized = (pairs.join(small(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))), "a")
-            .join(small(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))), "b")
-            .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb"))
+    side = lambda x: lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"h{x}"))
+    sized = (pairs.join(side("a"), "a").join(side("b"), "b")
+             .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+             .withColumn("k", F.size(F.array_intersect("ha", "hb"))))
     least = f"(({percent} * (na + nb) + {99 + percent}) DIV {100 + percent})"
     spare = lambda n: f"{least} - ({percent} * {n} + 99) DIV 100 + least({SHARED}, ({percent} * {n} + 99) DIV 100)"
-    return (sized.join(members.select(F.col("node").alias("a"), "h"), "a")
-            .join(members.select(F.col("node").alias("b"), "h"), ["b", "h"])
-            .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-            .filter(f"k >= least({spare('na')}, {spare('nb')})").drop("k"))
+    return sized.filter(f"k >= least({spare('na')}, {spare('nb')})").select("a", "b", "na", "nb")
 
 
 def overlaps(pairs: DataFrame, pieces_of, percent: int) -> DataFrame:
