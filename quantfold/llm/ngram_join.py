@@ -10,10 +10,12 @@ documents link when ``100 * |A & B| >= percent * |A | B|``. Steps:
 2. **Fragments.** The order is cut at equal shares of all occurrences into
    ``fragments`` pieces (a lookup from sketch cell to piece).
 3. **Equal sets collapse** to their smallest doc_id, so copies never pair.
-4. **Candidates** share an n-gram among the rarest ``n - ceil(p n) + l`` of
+4. **Candidates** share l n-grams among the rarest ``n - ceil(p n) + l`` of
    both sets, ``l = min(16, ceil(p n))``; a set that shares less than l of its
    own rarest with any other set links with none (two linked sets share l of
-   them). A bucket of m sets does not emit
+   them). They meet in the bucket of one n-gram among the rarest
+   ``n - ceil(p n) + 1`` of both (the same bound for l = 1), so that common
+   n-grams seldom open a bucket. A bucket of m sets does not emit
    its m^2 pairs: its members meet some pivots a round; members that ended up in
    one component need no further meeting. Once the members outside a
    bucket's largest component are few, they meet the rest directly. Every
@@ -112,8 +114,6 @@ SHARED = 16
 PIVOTS = 16
 #: Buckets are finished directly at so many meetings a row.
 FINISH = 8
-#: Numbers (8 bytes each) of rare n-gram lists that may be broadcast; larger ones take a shuffled join.
-LIST_CELLS = 2_000_000
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -156,18 +156,19 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
     several = materialise(classes.filter("rows > 1").select("n", "fp", "rep"))
     entries = (described.filter("n > 0 AND doc_id IS NOT NULL").join(small(several), ["n", "fp"], "left")
                .filter("rep IS NULL OR doc_id = rep").join(small(not_nodes), ["n", "fp"], "left_anti")
-               .select(F.col("doc_id").alias("node"), F.explode("rare").alias("h")))
+               .select(F.col("doc_id").alias("node"), "n", F.posexplode("rare").alias("place", "h"))
+               .select("node", "h", F.expr(f"place <= n - ({percent} * n + 99) DIV 100").alias("key")))
     shared_by = lambda t: t.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
     some = materialise(entries.join(shared_by(entries).select("h"), "h").distinct())
     enough = (some.groupBy("node").agg(F.count("*").alias("k")).join(reps.select("node", "n"), "node")
               .filter(f"k >= least({SHARED}, ({percent} * n + 99) DIV 100)"))
     sizes = materialise(enough.select("node", "n"))
-    members = some.join(small(sizes), "node")
-    members = materialise(members.join(shared_by(members).select("h", "pivot"), "h").select("h", "node", "n", "pivot"))
-    # every set's shared rare n-grams, at most its own length
-    lists = materialise(members.groupBy("node", "n").agg(F.collect_list("h").alias("hs")))
-    if (lists.agg(F.sum(F.size("hs") + 4).alias("cells")).first()["cells"] or 0) <= LIST_CELLS:
-        lists = F.broadcast(lists)
+    shared_rare = some.join(small(sizes), "node")
+    keys = shared_rare.filter("key")
+    members = materialise(keys.join(shared_by(keys).select("h", "pivot"), "h").select("h", "node", "n", "pivot"))
+    # shared rare n-grams of every set that has a bucket, at most its own length
+    lists = materialise(shared_rare.join(small(members.select("node").distinct()), "node", "left_semi")
+                        .groupBy("node", "n").agg(F.collect_list("h").alias("hs")))
     verified = lambda pairs: overlaps(pairs, lambda nodes: _pieces(docs, nodes, reps, shared, size), percent)
 
     pairs = _fitting(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
@@ -245,7 +246,7 @@ def _fitting(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
     A linked pair shares at least ``least`` n-grams, so a set lacks at most
     ``n - least`` of its own in the other, also among its rare ones.
-    ``lists`` (node, n, hs) may carry a broadcast hint.
+    ``lists`` has (node, n, hs).
     """
     side = lambda x: lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hs").alias(f"h{x}"))
     sized = (pairs.join(side("a"), "a").join(side("b"), "b")
