@@ -15,7 +15,8 @@ documents link when ``100 * |A & B| >= percent * |A | B|``. Steps:
    own rarest with any other set links with none (two linked sets share l of
    them). They meet in the bucket of one n-gram among the rarest
    ``n - ceil(p n) + 1`` of both (the same bound for l = 1), so that common
-   n-grams seldom open a bucket. A bucket of m sets does not emit
+   n-grams seldom open a bucket. Rare n-grams that no other set holds bound
+   what a set can share at all; pairs beyond that bound do not meet. A bucket of m sets does not emit
    its m^2 pairs: its members meet some pivots a round; members that ended up in
    one component need no further meeting. Once the members outside a
    bucket's largest component are few, they meet the rest directly. Every
@@ -160,25 +161,32 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                .select("node", "h", F.expr(f"place <= n - ({percent} * n + 99) DIV 100").alias("key")))
     shared_by = lambda t: t.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
     some = materialise(entries.join(shared_by(entries).select("h"), "h").distinct())
+    # "most": n-grams that a set can share with any other one, as some of its rare ones are nobody else's
     enough = (some.groupBy("node").agg(F.count("*").alias("k")).join(reps.select("node", "n"), "node")
-              .filter(f"k >= least({SHARED}, ({percent} * n + 99) DIV 100)"))
-    sizes = materialise(enough.select("node", "n"))
+              .withColumn("least", F.expr(f"({percent} * n + 99) DIV 100"))
+              .filter(f"k >= least({SHARED}, least)")
+              .select("node", "n", F.expr(f"least - least({SHARED}, least) + k").alias("most")))
+    sizes = materialise(enough)
     shared_rare = some.join(small(sizes), "node")
     keys = shared_rare.filter("key")
-    members = materialise(keys.join(shared_by(keys).select("h", "pivot"), "h").select("h", "node", "n", "pivot"))
+    members = materialise(keys.join(shared_by(keys).select("h", "pivot"), "h").select("h", "node", "n", "most", "pivot"))
     # shared rare n-grams of every set that has a bucket, at most its own length
     lists = materialise(shared_rare.join(small(members.select("node").distinct()), "node", "left_semi")
                         .groupBy("node", "n").agg(F.collect_list("h").alias("hs")))
+    possible = f"100 * least(ma, mb) >= {percent} * (na + nb - least(ma, mb))"
+    heads = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"))
     verified = lambda pairs: overlaps(pairs, lambda nodes: _pieces(docs, nodes, reps, shared, size), percent)
 
-    pairs = _fitting(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
-                     lists, percent)
+    first = (members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"),
+                                                    F.col("most").alias("mb")).distinct())
+    pairs = _fitting(first.join(heads, "a").filter(possible).select("a", "b"), lists, percent)
     links = materialise(verified(pairs))
     done = members.select("h", F.col("pivot").alias("node")).distinct()  # met by their whole bucket
     while True:
         labels = components(links)
-        left = materialise(members.select("h", "node", "n").join(done, ["h", "node"], "left_anti")
-                           .join(small(labels), "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c")))
+        left = materialise(members.select("h", "node", "n", "most").join(done, ["h", "node"], "left_anti")
+                           .join(small(labels), "node", "left")
+                           .select("h", "node", "n", "most", F.coalesce("component", "node").alias("c")))
         counts = left.groupBy("h", "c").agg(F.count("*").alias("k"))
         # k and c packed into one number order: the largest component of a bucket, ties by smallest label
         mixed = (counts.groupBy("h").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.count("*").alias("parts"))
@@ -189,15 +197,16 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                          F.count("*").alias("rows")).first()  # one row
         if not todo["meetings"]:
             break
-        light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+        light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"),
+                                                F.col("most").alias("ma"))
         finish = todo["meetings"] <= FINISH * todo["rows"]
         if not finish:
             chosen = light.groupBy("h").agg(F.min("a").alias("first"), F.count("*").alias("k"))
             light = (light.join(chosen, "h").filter(f"a = first OR pmod(xxhash64(a), k) < {PIVOTS}").drop("first", "k"))
             done = materialise(done.unionByName(light.select("h", F.col("a").alias("node"))))
-        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-        met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb"))
-                         & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"),
+                              F.col("most").alias("mb"))
+        met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb")) & F.expr(possible))
         pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lists, percent)
         # the components so far stand for the links they came from
         links = materialise(verified(pairs).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
