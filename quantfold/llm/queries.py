@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, quality, sharding
+from . import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, oracles, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_line_dedup,
                             op6_quality_rules, op7_license_scan, op8_sharding, op9_lm_score, op10_decontamination)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY,
+                           "op10_decontamination": oracles.DECONTAM}
