@@ -16,8 +16,9 @@ documents link when ``100 * |A & B| >= percent * |A | B|``. Steps:
    them). They meet in the bucket of one n-gram among the rarest
    ``n - ceil(p n) + 1`` of both (the same bound for l = 1), so that common
    n-grams seldom open a bucket. Rare n-grams that no other set holds bound
-   what a set can share at all; pairs beyond that bound do not meet. A bucket of m sets does not emit
-   its m^2 pairs: its members meet some pivots a round; members that ended up in
+   what a set can share at all, and differing bits of two parity maps bound
+   how many n-grams differ; pairs beyond either bound are not emitted. A bucket of m sets does not emit
+   its m^2 pairs: its members meet some pivots a round, four times as many in the next; members that ended up in
    one component need no further meeting. Once the members outside a
    bucket's largest component are few, they meet the rest directly. Every
    candidate pair is thus either verified or already connected.
@@ -64,6 +65,12 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(shingle_hashes(words.hashes[words.bounds[i]:words.bounds[i + 1]], size))
 
 
+def parity_map(grams: np.ndarray) -> np.ndarray:
+    """256 bits (four longs): whether an odd number of n-grams falls on each; two sets differ in at least the differing bits."""
+    odd = np.bincount(((grams >> _U(32)) & _U(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def count_sketch(texts: DataFrame, size: int) -> np.ndarray:
     """Occurrences (one a document) of n-grams by cell of their hash."""
     width = SKETCH_CELLS // _BLOCKS
@@ -111,7 +118,7 @@ def fragment_of_cells(cells: np.ndarray, fragments: int) -> np.ndarray:
 
 #: Rare n-grams that two linked sets must share (fewer where the sets are smaller).
 SHARED = 16
-#: Members of a bucket (about) that the others meet in one round after the first.
+#: Members of a bucket (about) that the others meet in the round after the first.
 PIVOTS = 16
 #: Buckets are finished directly at so many meetings a row.
 FINISH = 8
@@ -132,27 +139,28 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value[0]
         for batch in batches:
-            n, print_, rare = [], [], []
+            n, print_, rare, maps = [], [], [], []
             for _, grams in _sets(batch, size):
                 n.append(len(grams))
+                maps.append(parity_map(grams))
                 print_.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 first = np.lexsort((grams, count[(grams & _U(SKETCH_CELLS - 1)).astype(np.int64)]))
                 rare.append(grams[first[:_prefix_length(len(grams), percent)]].view(np.int64))
             ends = np.cumsum([0, *map(len, rare)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.binary()),
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(print_, pa.binary()), pa.array(maps, pa.list_(pa.int64())),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare) if rare else [], pa.int64()))],
-                names=["doc_id", "n", "fp", "rare"])
+                names=["doc_id", "n", "fp", "map", "rare"])
 
-    described = materialise(docs.mapInArrow(describe, "doc_id long, n long, fp binary, rare array<long>"))
-    classes = materialise(described.groupBy("n", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    described = materialise(docs.mapInArrow(describe, "doc_id long, n long, fp binary, map array<long>, rare array<long>"))
+    classes = materialise(described.groupBy("n", "fp", "map").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     # an id with several texts: only the one with fewest n-grams is a node
     twice = (classes.filter("n > 0").groupBy("rep").agg(F.count("*").alias("k"), F.min(F.struct("n", "fp")).alias("s"))
              .filter("k > 1").select(F.col("rep").alias("node"), "s.fp"))
     not_nodes = materialise(classes.filter("n > 0").join(
         twice, (F.col("rep") == F.col("node")) & (classes["fp"] != twice["fp"]), "left_semi").select("n", "fp"))
     reps = (classes.filter("n > 0 AND rep IS NOT NULL").join(small(not_nodes), ["n", "fp"], "left_anti")
-            .select(F.col("rep").alias("node"), "n", "fp"))
+            .select(F.col("rep").alias("node"), "n", "fp", "map"))
     # copies leave before their n-grams are listed: only classes of several rows need a look
     several = materialise(classes.filter("rows > 1").select("n", "fp", "rep"))
     entries = (described.filter("n > 0 AND doc_id IS NOT NULL").join(small(several), ["n", "fp"], "left")
@@ -162,31 +170,34 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
     shared_by = lambda t: t.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
     some = materialise(entries.join(shared_by(entries).select("h"), "h").distinct())
     # "most": n-grams that a set can share with any other one, as some of its rare ones are nobody else's
-    enough = (some.groupBy("node").agg(F.count("*").alias("k")).join(reps.select("node", "n"), "node")
+    enough = (some.groupBy("node").agg(F.count("*").alias("k")).join(reps.select("node", "n", "map"), "node")
               .withColumn("least", F.expr(f"({percent} * n + 99) DIV 100"))
               .filter(f"k >= least({SHARED}, least)")
-              .select("node", "n", F.expr(f"least - least({SHARED}, least) + k").alias("most")))
+              .select("node", "n", "map", F.expr(f"least - least({SHARED}, least) + k").alias("most")))
     sizes = materialise(enough)
     shared_rare = some.join(small(sizes), "node")
     keys = shared_rare.filter("key")
-    members = materialise(keys.join(shared_by(keys).select("h", "pivot"), "h").select("h", "node", "n", "most", "pivot"))
+    members = materialise(keys.join(shared_by(keys).select("h", "pivot"), "h").select("h", "node", "n", "most", "map", "pivot"))
     # shared rare n-grams of every set that has a bucket, at most its own length
     lists = materialise(shared_rare.join(small(members.select("node").distinct()), "node", "left_semi")
                         .groupBy("node", "n").agg(F.collect_list("h").alias("hs")))
-    possible = f"100 * least(ma, mb) >= {percent} * (na + nb - least(ma, mb))"
-    heads = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    differ = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(4))
+    possible = (f"100 * least(ma, mb) >= {percent} * (na + nb - least(ma, mb)) AND "
+                f"{differ} <= na + nb - 2 * (({percent} * (na + nb) + {99 + percent}) DIV {100 + percent})")
+    side = lambda x: [F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("map").alias(f"p{x}")]
+    heads = sizes.select(F.col("node").alias("a"), *side("a"))
     verified = lambda pairs: overlaps(pairs, lambda nodes: _pieces(docs, nodes, reps, shared, size), percent)
 
-    first = (members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"),
-                                                    F.col("most").alias("mb")).distinct())
+    first = (members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), *side("b")).distinct())
     pairs = _fitting(first.join(heads, "a").filter(possible).select("a", "b"), lists, percent)
     links = materialise(verified(pairs))
     done = members.select("h", F.col("pivot").alias("node")).distinct()  # met by their whole bucket
+    pivots = PIVOTS
     while True:
         labels = components(links)
-        left = materialise(members.select("h", "node", "n", "most").join(done, ["h", "node"], "left_anti")
+        left = materialise(members.drop("pivot").join(done, ["h", "node"], "left_anti")
                            .join(small(labels), "node", "left")
-                           .select("h", "node", "n", "most", F.coalesce("component", "node").alias("c")))
+                           .select("h", "node", "n", "most", "map", F.coalesce("component", "node").alias("c")))
         counts = left.groupBy("h", "c").agg(F.count("*").alias("k"))
         # k and c packed into one number order: the largest component of a bucket, ties by smallest label
         mixed = (counts.groupBy("h").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.count("*").alias("parts"))
@@ -197,15 +208,14 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                          F.count("*").alias("rows")).first()  # one row
         if not todo["meetings"]:
             break
-        light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"),
-                                                F.col("most").alias("ma"))
+        light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), *side("a"))
         finish = todo["meetings"] <= FINISH * todo["rows"]
         if not finish:
             chosen = light.groupBy("h").agg(F.min("a").alias("first"), F.count("*").alias("k"))
-            light = (light.join(chosen, "h").filter(f"a = first OR pmod(xxhash64(a), k) < {PIVOTS}").drop("first", "k"))
+            light = (light.join(chosen, "h").filter(f"a = first OR pmod(xxhash64(a), k) < {pivots}").drop("first", "k"))
+            pivots *= 4
             done = materialise(done.unionByName(light.select("h", F.col("a").alias("node"))))
-        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"),
-                              F.col("most").alias("mb"))
+        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), *side("b"))
         met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb")) & F.expr(possible))
         pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lists, percent)
         # the components so far stand for the links they came from
