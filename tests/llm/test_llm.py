@@ -244,6 +244,29 @@ def test_lm_base_counts_and_held_out_gain(spark):
     assert model > base
 
 
+@pytest.mark.parametrize("shards", [1, 7])
+def test_lm_every_word_is_a_context(spark, shards):
+    # every pair occurs once, so its tables are known; 3,000 contexts have less than 0.1% of the tokens each
+    learned = [f"a{i} m{i % 40} b{i}" for i in range(1500)]
+    asked = ["a3 m3 b43", "a5 m5", "a5 m6 b5 b6", "b21 new m1"]
+    docs = frame(spark, learned + asked).withColumn("learn", F.col("doc_id") < len(learned))
+    pair = collections.Counter()
+    for t in learned:
+        w = ["^", *t.split(), "$"]
+        pair.update(zip(w, w[1:]))
+    customers, open_, parent = collections.Counter(), collections.Counter(), collections.Counter()
+    for (u, w), c in pair.items():
+        customers[u], open_[u], parent[w] = customers[u] + c, open_[u] + 1, parent[w] + 1
+
+    def p(u, w):
+        up = (parent[w] - 0.7 if w in parent else 1 + 0.7 * len(parent)) / (1 + sum(parent.values()))
+        return (max(pair[u, w] - 0.7 * (pair[u, w] > 0), 0) + (1 + 0.7 * open_[u]) * up) / (1 + customers[u])
+
+    for r in lm.score(docs, shards=shards).collect():
+        w = ["^", *(learned + asked)[r["doc_id"]].split(), "$"]
+        assert abs(r["score"] - sum(math.log10(p(u, x)) for u, x in zip(w, w[1:]))) < 1e-4, (w, r["score"])
+
+
 def test_lm_odd_rows_and_seating(spark):
     rows = frame(spark, ["a b a b a", None, "", "zzz"], ids=[1, 2, 3, None]).withColumn("learn", F.col("doc_id") == 1)
     got = {r["doc_id"]: r for r in lm.score(rows).collect()}
