@@ -6,6 +6,8 @@ Fitting
   2. A bounded sample of ``sample_per_lang`` learning rows a language (chosen
      by hash of the id) is vectorised and clustered per language by spherical
      k-means into up to ``clusters`` centroids, one Spark group a language.
+     Seeds are drawn by k-means++; a cluster that ends a round with fewer than
+     ``LEAST`` rows is drawn anew, and left out if that is so to the end.
   3. A rejection distance per language: ``slack`` times the largest distance
      a sample row of that language has from its nearest own centroid, never
      above ``max_distance``.
@@ -39,6 +41,8 @@ from pyspark.sql import types as T
 from ._common import Shared, mix
 
 UNKNOWN = "und"
+#: Rows of the sample that a cluster needs.
+LEAST = 5
 _U = np.uint64
 
 
@@ -126,23 +130,29 @@ def _cluster(model: LanguageModel, clusters: int, rounds: int, slack: float, max
         for i, text in enumerate(texts):
             at, value = model.vector(text)
             x[i, at] = value
-        k = max(1, min(clusters, len(texts) // 20))
-        centre = [x.mean(0)]
-        while len(centre) < k:  # farthest first: the row least like every centre so far
-            c = np.stack(centre)
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-            centre.append(x[int((x @ c.T).max(1).argmin())])
-        c = np.stack(centre)
-        for _ in range(rounds):
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        k, least = max(1, min(clusters, len(texts) // 20)), min(LEAST, len(texts))
+        rng = np.random.default_rng(7)
+
+        def draw(c: np.ndarray) -> np.ndarray:
+            """A row, more likely the farther it is from the nearest centre."""
+            far = np.maximum(1.0 - (x @ c.T).max(1), 0.0).astype(float) if len(c) else np.ones(len(x))
+            return x[rng.choice(len(x), p=far / far.sum() if far.sum() > 0 else None)]
+
+        def unit(c: np.ndarray) -> np.ndarray:
+            return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+
+        c = np.zeros((0, model.dims), np.float32)
+        while len(c) < k:
+            c = np.vstack([c, draw(c)])
+        for i in range(rounds):
             own = (x @ c.T).argmax(1)
-            c = np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        # a cluster needs a share of the language's rows: stray (mislabelled) rows name no centroid
-        own = (x @ c.T).argmax(1)
-        share = np.bincount(own, minlength=len(c)) / len(x)
-        keep = share >= min(0.05, share.max())
-        c = c[keep]
+            large = np.bincount(own, minlength=k) >= least
+            c = unit(np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)]))
+            for j in np.flatnonzero(~large) if i < rounds // 2 else ():
+                c[j] = draw(c[large] if large.any() else c)
+        # stray (mislabelled) rows name no centroid
+        large = np.bincount((x @ c.T).argmax(1), minlength=k) >= least
+        c = c[large] if large.any() else c
         farthest = float(1.0 - (x @ c.T).max(1).min())
         reach = min(max_distance, slack * farthest)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": reach,

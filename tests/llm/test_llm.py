@@ -66,6 +66,16 @@ def test_language_id_held_out_accuracy_and_rejection(spark):
     assert named[4]["lang_pred"] == "en" and not named[4]["rejected"] and 0 < named[4]["score"] <= 1
 
 
+def test_language_id_registers_of_a_language_have_centroids(spark):
+    rng = random.Random(2)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    texts = [say("abcdefg") for _ in range(388)] + [say("nopqrst") for _ in range(12)] + ["\u4e00\u4e8c", "\u3042\u3044"]
+    model = lang_id.fit(frame(spark, texts))
+    near = [int(np.argmax(model.centroids[:, at] @ v)) for at, v in map(model.vector, (texts[0], texts[390]))]
+    assert len(model.langs) >= 2 and near[0] != near[1]
+    assert all(float((model.centroids[:, at] @ v).max()) > 0.6 for at, v in map(model.vector, (texts[0], texts[390])))
+
+
 def test_language_id_without_rows_to_learn_from(spark):
     model = lang_id.fit(none(spark))
     assert [r["lang_pred"] for r in lang_id.predict(frame(spark, ["abc", None]), model).collect()] == ["und", "und"]
