@@ -8,9 +8,12 @@ Fitting
      k-means into up to ``clusters`` centroids, one Spark group a language.
      Seeds are drawn by k-means++; a cluster that ends a round with fewer than
      ``LEAST`` rows is drawn anew, and left out if that is so to the end.
-  3. A rejection distance per language: ``slack`` times the largest distance
-     a sample row of that language has from its nearest own centroid, never
-     above ``max_distance``.
+  3. A rejection distance per language and length class (binary logarithm of
+     the text's distinct n-grams): the ``quantile`` of the distances of sample
+     rows from their nearest own centroid, so a few odd or mislabelled rows do
+     not move it, and ``slack`` of the way from there to 1, never above
+     ``max_distance``. The rows' beginnings of 4, 8, 16, ... characters count
+     too: short texts lie farther out, whatever lengths the sample has.
 
 Predicting is one narrow pass: every whole text becomes a vector, the cosine
 with each centroid is a matrix product, the nearest centroid names the
@@ -41,8 +44,10 @@ from pyspark.sql import types as T
 from ._common import Shared, mix
 
 UNKNOWN = "und"
-#: Rows of the sample that a cluster needs.
+#: Rows of the sample that a cluster needs, and texts that a length class needs.
 LEAST = 5
+#: Length classes; the last one has no upper end.
+CLASSES = 14
 _U = np.uint64
 
 
@@ -74,6 +79,11 @@ def _letters(code: np.ndarray) -> np.ndarray:
     return ascii_letter | (high & ~mark)
 
 
+def length_class(distinct: int) -> int:
+    """Class of a text with so many distinct n-grams."""
+    return min(max(distinct, 1).bit_length(), CLASSES) - 1
+
+
 @dataclass
 class LanguageModel:
     """Centroids (one row each), their languages, idf and rejection distances.
@@ -85,7 +95,7 @@ class LanguageModel:
     langs: list[str] = field(default_factory=list)       # of each centroid
     centroids: np.ndarray | None = None                   # (k, dims) unit rows
     idf: np.ndarray | None = None
-    reach: np.ndarray | None = None                       # rejection distance of each centroid's language
+    reach: np.ndarray | None = None                       # rejection distance by centroid (its language's) and length class
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         at, counts = ngram_buckets(text, self.dims)
@@ -100,7 +110,7 @@ class LanguageModel:
         cos = self.centroids[:, at] @ value
         k = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[k])))
-        return self.langs[k], score, bool(1.0 - score > self.reach[k])
+        return self.langs[k], score, bool(1.0 - score > self.reach[k, length_class(len(at))])
 
 
 def _document_frequencies(rows: DataFrame, dims: int) -> tuple[np.ndarray, int]:
@@ -122,7 +132,20 @@ def _document_frequencies(rows: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     return out[:dims], int(out[dims])
 
 
-def _cluster(model: LanguageModel, clusters: int, rounds: int, slack: float, max_distance: float):
+def _reach(model: LanguageModel, c: np.ndarray, texts: list[str], quantile: float) -> np.ndarray:
+    """Quantile of the distances from the nearest of ``c`` by length class."""
+    found: list[list[float]] = [[] for _ in range(CLASSES)]
+    for text in texts:
+        for end in (*(2 << i for i in range(1, (len(text) - 1).bit_length() - 1)), len(text)):
+            if any(map(str.isalpha, text[:end])):
+                at, value = model.vector(text[:end])
+                found[length_class(len(at))].append(float(1.0 - (c[:, at] @ value).max()))
+    have = [i for i in range(CLASSES) if len(found[i]) >= min(LEAST, len(texts))] or [i for i in range(CLASSES) if found[i]]
+    # a class without texts takes the nearest one that has some
+    return np.array([np.quantile(found[min(have, key=lambda j: abs(i - j))], quantile) for i in range(CLASSES)])
+
+
+def _cluster(model: LanguageModel, clusters: int, rounds: int, slack: float, quantile: float, max_distance: float):
     """Group function: spherical k-means over one language's bounded sample."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf.sort_values(["__h", "text"])["text"].tolist()
@@ -153,15 +176,16 @@ def _cluster(model: LanguageModel, clusters: int, rounds: int, slack: float, max
         # stray (mislabelled) rows name no centroid
         large = np.bincount((x @ c.T).argmax(1), minlength=k) >= least
         c = c[large] if large.any() else c
-        farthest = float(1.0 - (x @ c.T).max(1).min())
-        reach = min(max_distance, slack * farthest)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": reach,
+        typical = _reach(model, c, texts, quantile)
+        reach = np.minimum(max_distance, typical + slack * (1.0 - typical))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "reach": [reach.tolist()] * len(c),
                              "centroid": [row.astype(np.float32).tobytes() for row in c]})
     return run
 
 
 def fit(rows: DataFrame, *, lang: str = "lang", text: str = "text", dims: int = 1 << 13, clusters: int = 4,
-        sample_per_lang: int = 1000, rounds: int = 8, slack: float = 1.1, max_distance: float = 0.97) -> LanguageModel:
+        sample_per_lang: int = 1000, rounds: int = 8, slack: float = 0.25, quantile: float = 0.95,
+        max_distance: float = 0.97) -> LanguageModel:
     """Learn from every row of ``rows`` whose ``lang`` and ``text`` are set.
 
     ``sample_per_lang`` bounds the rows that are clustered (the idf counts
@@ -182,10 +206,10 @@ def fit(rows: DataFrame, *, lang: str = "lang", text: str = "text", dims: int =
              .filter((F.col("__h").cast("double") / F.lit(2.0**63) + 1) / 2 <= share)
              .groupBy("lang", "__h").agg(F.first("text").alias("text")))
     got = drawn.groupBy("lang").applyInPandas(
-        lambda pdf: _cluster(model, clusters, rounds, slack, max_distance)(pdf.nsmallest(sample_per_lang, "__h")),
-        "lang string, reach double, centroid binary").toPandas().sort_values("lang", kind="stable")
+        lambda pdf: _cluster(model, clusters, rounds, slack, quantile, max_distance)(pdf.nsmallest(sample_per_lang, "__h")),
+        "lang string, reach array<double>, centroid binary").toPandas().sort_values("lang", kind="stable")
     model.langs = got["lang"].tolist()
-    model.reach = got["reach"].to_numpy()
+    model.reach = np.stack(got["reach"].to_list())
     model.centroids = np.stack([np.frombuffer(b, np.float32) for b in got["centroid"]])
     return model
 

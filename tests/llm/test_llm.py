@@ -76,6 +76,22 @@ def test_language_id_registers_of_a_language_have_centroids(spark):
     assert all(float((model.centroids[:, at] @ v).max()) > 0.6 for at, v in map(model.vector, (texts[0], texts[390])))
 
 
+def test_language_id_rejects_junk_despite_mislabelled_rows(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    finnish = ("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja "
+               "omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä ") * 4
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    wrong = spark.createDataFrame([(-1 - i, junk(300), "en") for i in range(5)], "doc_id long, text string, lang string")
+    out = lang_id.held_out(F.col("doc_id"))
+    model = lang_id.fit(docs.filter(~out).unionByName(wrong))
+    odd = lang_id.predict(frame(spark, [junk(300), junk(60), finnish]), model).collect()
+    assert all(r["rejected"] for r in odd), odd
+    kept = [not r["rejected"] for r in lang_id.predict(docs.filter(out), model).collect()]
+    assert sum(kept) >= 0.97 * len(kept)
+
+
 def test_language_id_without_rows_to_learn_from(spark):
     model = lang_id.fit(none(spark))
     assert [r["lang_pred"] for r in lang_id.predict(frame(spark, ["abc", None]), model).collect()] == ["und", "und"]
