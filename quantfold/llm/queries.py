@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, oracles, quality, sharding
+from . import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, oracles, quality, sharding, token_align
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +82,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public.path("piece_bpe_32k.model"), "rb") as b:
+        return token_align.align(_table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_line_dedup,
-                            op6_quality_rules, op7_license_scan, op8_sharding, op9_lm_score, op10_decontamination)}
+                            op6_quality_rules, op7_license_scan, op8_sharding, op9_lm_score, op10_decontamination, op13_token_align)}
 
 ORACLES: dict[str, str] = {"op4_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY,
                            "op10_decontamination": oracles.DECONTAM}
