@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, oracles, quality, sharding, token_align
+from . import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, oracles, quality, sharding, token_align, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), ~out)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened",
+                        "explained", "identity_error")
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
     with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public.path("piece_bpe_32k.model"), "rb") as b:
@@ -90,7 +103,8 @@ def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_line_dedup,
-                            op6_quality_rules, op7_license_scan, op8_sharding, op9_lm_score, op10_decontamination, op13_token_align)}
+                            op6_quality_rules, op7_license_scan, op8_sharding, op9_lm_score, op10_decontamination, op11_toxicity, op12_whitening,
+                            op13_token_align)}
 
 ORACLES: dict[str, str] = {"op4_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY,
                            "op10_decontamination": oracles.DECONTAM}
