@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from types import SimpleNamespace
 
 import numpy as np
@@ -112,8 +113,8 @@ class Aligned:
     def __init__(self, tok: Tokenizers, ids_a: list[list[int]], ids_b: list[list[int]]):
         self.n_a = np.array([len(x) for x in ids_a], np.int64)
         self.n_b = np.array([len(x) for x in ids_b], np.int64)
-        a = np.fromiter((i for x in ids_a for i in x), np.int64, int(self.n_a.sum()))
-        b = np.fromiter((i for x in ids_b for i in x), np.int64, int(self.n_b.sum()))
+        a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(self.n_a.sum()))
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(self.n_b.sum()))
         ends_a, ends_b = np.cumsum(tok.len_a[a]), np.cumsum(tok.len_b[b])
         size = int(ends_a[-1]) + 1 if len(a) else 1
         in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
@@ -135,14 +136,14 @@ class Aligned:
         self.n_groups = upto[self.link_ends] - upto[starts]
         self.link_starts = starts
         # a group's A tokens, then its B tokens
-        group_a = np.searchsorted(seg[common], ends_a, "left")
-        group_b = np.searchsorted(seg[common], ends_b, "left")
+        group = upto[:-1]
+        own_a, own_b = np.flatnonzero(at_a), np.flatnonzero(at_b)  # the stretch that each token ends with
+        group_a, group_b = group[own_a], group[own_b]
         per_a, per_b = np.bincount(group_a, minlength=int(common.sum())), np.bincount(group_b, minlength=int(common.sum()))
         before_b, upto_a = np.cumsum(per_b) - per_b, np.cumsum(per_a)
         line = np.empty(len(a) + len(b), np.int64)
-        line[np.arange(len(a)) + before_b[group_a]] = a + len(tok.bytes_a) * common[np.searchsorted(seg, ends_a)]
-        line[np.arange(len(b)) + upto_a[group_b]] = (2 * len(tok.bytes_a) + b
-                                                     + len(tok.bytes_b) * common[np.searchsorted(seg, ends_b)])
+        line[np.arange(len(a)) + before_b[group_a]] = a + len(tok.bytes_a) * common[own_a]
+        line[np.arange(len(b)) + upto_a[group_b]] = 2 * len(tok.bytes_a) + b + len(tok.bytes_b) * common[own_b]
         cells = tok.written[line].view(np.uint8).reshape(len(line), tok.written.itemsize)
         used = cells != 0
         self._flat = cells[used].tobytes()
