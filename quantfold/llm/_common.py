@@ -34,8 +34,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete what no table in use needs any more.
+
+    Shuffle files and checkpoints are deleted once the driver has collected
+    the objects that stand for them. A driver with a quiet heap does so
+    seldom, and long jobs keep every stage's files until then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder."""
+    """``df`` computed once into the shared checkpoint folder; earlier tables out of use are released first."""
+    release(df.sparkSession)
     return cut_lineage(df)
 
 
@@ -206,6 +217,7 @@ def stored(df: DataFrame) -> DataFrame:
     from ..session import ensure_checkpoint_dir
 
     spark = df.sparkSession
+    release(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quantfold-{uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
