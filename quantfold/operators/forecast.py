@@ -4,11 +4,12 @@ The model is a discount-weighted linear regression: an observation ``age``
 periods before the forecast origin has weight ``rho ** age`` and at most the
 ``prior_length`` most recent observations are used. Everything up to the
 coefficient solve is Spark: the grid is generated per series with
-``sequence`` (no cross join), training windows are exploded row indices
-joined on (series, row) — an equi join — and weighted sums are hash
-aggregates over (series, grid point, origin). The one-regressor case has a
-closed form (i15). With several regressors only the p×p solve runs in numpy,
-vectorised over a whole Arrow batch of grid points (i13).
+``sequence`` (no cross join). Training rows are row indices exploded once per
+(series, rho, origin) and joined on (series, row) — an equi join; hash
+aggregates add them up per stretch between two window lengths and running
+sums give every length. Columns are centred first. The one-regressor case has
+a closed form (i15). With several regressors only the p×p solve runs in
+numpy, vectorised over a whole Arrow batch of grid points (i13, i14).
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
+from .quantiles import exact_quantiles
 
 
 # ---- i11: design matrix --------------------------------------------------------------
@@ -60,48 +61,92 @@ def parameter_grid(targets: DataFrame, ncols: int, max_prior: int = 50, points:
                     (F.col("j") / F.lit(points - 1)).alias("rho"))
 
 
+def _last_known(design: DataFrame) -> DataFrame:
+    return design.where(F.col("y").isNotNull()).groupBy("target").agg(F.max("r").alias("__last"))
+
+
 def _grid_origins(design: DataFrame, grid: DataFrame, n_test: int) -> DataFrame:
     """Grid points × backtest origins: the last ``n_test`` row indices up to the last known y.
 
     One aggregate row per target joins the grid (many-to-one) and the
     origins are generated with ``sequence``; no pairing of two row sets.
     """
-    last = design.where(F.col("y").isNotNull()).groupBy("target").agg(F.max("r").alias("__last"))
-    g = grid.join(last, "target").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("__k"))
+    g = grid.join(_last_known(design), "target").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_test - 1))).alias("__k"))
     return g.select("target", "prior_length", "rho", (F.col("__last") - F.col("__k")).alias("r_t"))
 
 
-def _actuals(design: DataFrame, xcols: Sequence[str]) -> DataFrame:
-    return design.where(F.col("y").isNotNull()).select(
-        "target", F.col("r").alias("r_t"), "date", F.col("y").alias("actual"), *xcols)
+def _future(design: DataFrame) -> DataFrame:
+    """Rows behind the last known y, whose regressors are known."""
+    return design.join(_last_known(design), "target").where(F.col("r") > F.col("__last")).drop("__last")
+
+
+def _complete(design: DataFrame, xcols: Sequence[str]) -> DataFrame:
+    return design.where(F.col("y").isNotNull()).dropna(subset=list(xcols)) if xcols else design.where(F.col("y").isNotNull())
 
 
-def _training(design: DataFrame, gp: DataFrame, xcols: Sequence[str]) -> DataFrame:
-    """Training rows of every (target, grid point, origin): exploded indices, equi join on (target, r)."""
-    idx = gp.select("*", F.explode(F.sequence(F.col("r_t") - F.col("prior_length"), F.col("r_t") - 1)).alias("r"))
-    tr = idx.join(design.select("target", "r", "y", *xcols), ["target", "r"])
-    tr = tr.where(F.col("y").isNotNull())
-    for c in xcols:
-        tr = tr.where(F.col(c).isNotNull())
-    return tr.withColumn("w", F.pow(F.col("rho"), (F.col("r_t") - 1 - F.col("r")).cast("double")))
+def _centred(design: DataFrame, xcols: Sequence[str], scaled: bool = False) -> DataFrame:
+    """``design`` with ``c_y`` and every ``c_<x>`` less its target's mean (and over its deviation), and the mean of y.
+
+    A regression with an intercept predicts the same; sums of squares of
+    money-sized columns no longer cancel.
+    """
+    cols = ["y", *xcols]
+    known = _complete(design, xcols).groupBy("target").agg(
+        *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in xcols])
+    out = design.join(known, "target")
+    width = lambda c: F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(F.lit(1.0)) if scaled and c != "y" else F.lit(1.0)
+    return out.withColumns({f"c_{c}": (F.col(c) - F.col(f"m_{c}")) / width(c) for c in cols}).drop(*[f"s_{c}" for c in xcols])
+
+
+def _discounted_sums(centred: DataFrame, points: DataFrame, xcols: Sequence[str], terms: dict) -> DataFrame:
+    """Σ w·term over the training window of every point (target, prior_length, rho, r_t).
+
+    The rows before an origin are read once per (target, rho, origin) and
+    added up per *segment*, the stretch between two neighbouring window
+    lengths; the sum for a length is the running sum of the segments up to it.
+    All window lengths of a rho thus come from one pass, without differences
+    of large sums. Windows without a training row have no result row.
+    """
+    lengths = points.groupBy("target").agg(F.sort_array(F.collect_set("prior_length")).alias("__lens"))
+    # few lengths a target, so few numbers in the array
+    origins = points.select("target", "rho", "r_t").distinct().join(lengths, "target")
+    ages = origins.select("*", F.explode(F.sequence(F.lit(0), F.element_at("__lens", -1) - 1)).alias("__age")).withColumn(
+        "r", F.col("r_t") - 1 - F.col("__age"))
+    rows = ages.join(_complete(centred, xcols).select("target", "r", *{f"c_{c}" for c in ["y", *xcols]}), ["target", "r"])
+    rows = (rows.withColumn("w", F.pow(F.col("rho"), F.col("__age").cast("double")))
+            .withColumn("__seg", F.size(F.filter("__lens", lambda n: n <= F.col("__age")))))
+    names = list(terms)
+    keys = ["target", "rho", "r_t"]
+    parts = rows.groupBy(*keys, "__seg").agg(F.count("*").alias("__rows"), *[F.sum(F.col("w") * terms[n]).alias(n) for n in names])
+    spine = origins.select(*keys, F.posexplode("__lens").alias("__seg", "prior_length"))
+    upto = Window.partitionBy(*keys).orderBy("__seg")
+    run = spine.join(parts, [*keys, "__seg"], "left").select(
+        *keys, "prior_length", *[F.sum(F.coalesce(F.col(n), F.lit(0.0))).over(upto).alias(n) for n in names],
+        F.sum(F.coalesce("__rows", F.lit(0))).over(upto).alias("__rows"))
+    wanted = points.select("target", "prior_length", "rho", "r_t").distinct()
+    return run.where("__rows > 0").drop("__rows").join(wanted, ["target", "prior_length", "rho", "r_t"])
 
 
 # ---- i15: closed form, one regressor ---------------------------------------------------
-def backtest_simple(design: DataFrame, grid: DataFrame, xcol: str, n_test: int = 4) -> DataFrame:
-    """i15: 1-step-ahead predictions at every origin and grid point, y ~ a + b·x weighted."""
-    gp = _grid_origins(design, grid, n_test)
-    tr = _training(design, gp, [xcol])
-    x, y, w = F.col(xcol), F.col("y"), F.col("w")
-    s = tr.groupBy("target", "prior_length", "rho", "r_t").agg(
-        F.sum(w).alias("sw"), F.sum(w * x).alias("swx"), F.sum(w * y).alias("swy"),
-        F.sum(w * x * x).alias("swxx"), F.sum(w * x * y).alias("swxy"))
+def _fit_simple(centred: DataFrame, points: DataFrame, xcol: str) -> DataFrame:
+    """Slope and intercept (on centred columns) of every point."""
+    x, y = F.col(f"c_{xcol}"), F.col("c_y")
+    s = _discounted_sums(centred, points, [xcol], {"sw": F.lit(1.0), "swx": x, "swy": y, "swxx": x * x, "swxy": x * y})
     slope = safe_div(F.col("sw") * F.col("swxy") - F.col("swx") * F.col("swy"),
                      F.col("sw") * F.col("swxx") - F.col("swx") * F.col("swx"))
-    s = s.withColumn("slope", slope).withColumn("intercept", safe_div(F.col("swy") - F.col("slope") * F.col("swx"), F.col("sw")))
-    act = _actuals(design, [xcol]).withColumnRenamed(xcol, "x_t")
-    p = s.join(act, ["target", "r_t"])
+    s = s.withColumn("slope", slope)
+    return s.withColumn("intercept", safe_div(F.col("swy") - F.col("slope") * F.col("swx"), F.col("sw")))
+
+
+def backtest_simple(design: DataFrame, grid: DataFrame, xcol: str, n_test: int = 4) -> DataFrame:
+    """i15: 1-step-ahead predictions at every origin and grid point, y ~ a + b·x weighted."""
+    centred = _centred(design, [xcol])
+    s = _fit_simple(centred, _grid_origins(design, grid, n_test), xcol)
+    known = centred.where(F.col("y").isNotNull()).select("target", F.col("r").alias("r_t"), "date", F.col("y").alias("actual"),
+                                                         F.col(f"c_{xcol}").alias("x_t"), "m_y")
+    p = s.join(known, ["target", "r_t"])
     return p.select("target", "prior_length", "rho", "date", "actual",
-                    (F.col("intercept") + F.col("slope") * F.col("x_t")).alias("pred"))
+                    (F.col("m_y") + F.col("intercept") + F.col("slope") * F.col("x_t")).alias("pred"))
 
 
 # ---- e06 / g05 / e07 / e08 -------------------------------------------------------------------
@@ -111,15 +156,21 @@ def error_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return preds.groupBy(*keys).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def best_params(metrics: DataFrame) -> DataFrame:
-    """g05: the grid point with the smallest RMSE per target (ties: smaller parameters)."""
-    best = F.min_by(F.struct("prior_length", "rho", "rmse", "mae"), F.struct("rmse", "prior_length", "rho"))
+def best_params(metrics: DataFrame, digits: int = 4) -> DataFrame:
+    """g05: the grid point with the smallest RMSE per target (ties: smaller parameters).
+
+    Windows longer than the history hold the same rows; their RMSE differ by
+    the noise of summation only. Equal to ``digits`` decimals is a tie.
+    """
+    best = F.min_by(F.struct("prior_length", "rho", "rmse", "mae"), F.struct(F.round("rmse", digits), "prior_length", "rho"))
     return metrics.where(F.col("rmse").isNotNull()).groupBy("target").agg(best.alias("b")).select("target", "b.*")
 
 
 def error_median(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """e08: exact median absolute error per key (``percentile`` interpolates like pandas)."""
-    return preds.groupBy(*keys).agg(F.percentile(F.abs(F.col("pred") - F.col("actual")), F.lit(0.5)).alias("median_abs_error"))
+    """e08: exact median absolute error per key (interpolated like pandas; NULL where no prediction exists)."""
+    errors = preds.select(*keys, F.abs(F.col("pred") - F.col("actual")).alias("__e"))
+    medians = exact_quantiles(errors, "__e", (0.5,), ("median_abs_error",), keys)
+    return preds.select(*keys).distinct().join(medians, list(keys), "left")
 
 
 # ---- i14: refit and forecast --------------------------------------------------------------------
@@ -129,21 +180,13 @@ def forecast_simple(design: DataFrame, best: DataFrame, xcol: str) -> DataFrame:
     Future rows are those with unknown y but known regressors; all of them
     share the coefficients fitted on data before the first one.
     """
-    last = design.where(F.col("y").isNotNull()).groupBy("target").agg(F.max("r").alias("__last"))
-    fut = design.join(last, "target").where(F.col("r") > F.col("__last")).drop("__last")
+    centred = _centred(design, [xcol])
+    fut = _future(centred)
     first = fut.groupBy("target").agg(F.min("r").alias("r_t"))
-    grid = best.select("target", "prior_length", "rho")
-    o = first.join(grid, "target")
-    idx = o.select("*", F.explode(F.sequence(F.col("r_t") - F.col("prior_length"), F.col("r_t") - 1)).alias("r"))
-    tr = idx.join(design.select("target", "r", "y", xcol), ["target", "r"]).where(F.col("y").isNotNull() & F.col(xcol).isNotNull())
-    tr = tr.withColumn("w", F.pow(F.col("rho"), (F.col("r_t") - 1 - F.col("r")).cast("double")))
-    x, y, w = F.col(xcol), F.col("y"), F.col("w")
-    s = tr.groupBy("target").agg(F.sum(w).alias("sw"), F.sum(w * x).alias("swx"), F.sum(w * y).alias("swy"),
-                                 F.sum(w * x * x).alias("swxx"), F.sum(w * x * y).alias("swxy"))
-    slope = safe_div(F.col("sw") * F.col("swxy") - F.col("swx") * F.col("swy"),
-                     F.col("sw") * F.col("swxx") - F.col("swx") * F.col("swx"))
-    s = s.select("target", slope.alias("slope"), safe_div(F.col("swy") - slope * F.col("swx"), F.col("sw")).alias("intercept"))
-    return fut.join(s, "target").select("target", "date", (F.col("intercept") + F.col("slope") * F.col(xcol)).alias("forecast"))
+    points = best.select("target", "prior_length", "rho").join(first, "target")
+    s = _fit_simple(centred, points, xcol).select("target", "slope", "intercept")
+    return fut.join(s, "target").select(
+        "target", "date", (F.col("m_y") + F.col("intercept") + F.col("slope") * F.col(f"c_{xcol}")).alias("forecast"))
 
 
 def forecast_band(forecasts: DataFrame, design: DataFrame) -> DataFrame:
@@ -154,49 +197,73 @@ def forecast_band(forecasts: DataFrame, design: DataFrame) -> DataFrame:
                     (F.col("forecast") + F.col("sd")).alias("upper"))
 
 
-# ---- i13: several regressors, batched numpy solve ---------------------------------------------
+# ---- i13 / i14: several regressors, batched numpy solve -----------------------------------------
 def _solve_batch(p: int):
+    """Function over batches: p (p + 1) / 2 cross sums and p right-hand sides a row -> b0..b(p-1)."""
     def solve(batches):
+        upper = [(i, j) for i in range(p) for j in range(i, p)]
         for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{f"b{i}": pd.Series(dtype="float64") for i in range(p)}).drop(
-                    columns=[c for c in pdf.columns if c.startswith("xx_") or c.startswith("xy_")])
-                continue
-            xx = np.stack([pdf[f"xx_{i}_{j}"].to_numpy() for i in range(p) for j in range(p)], axis=1).reshape(-1, p, p)
-            xy = np.stack([pdf[f"xy_{i}"].to_numpy() for i in range(p)], axis=1)
+            xx = np.empty((len(pdf), p, p))
+            for i, j in upper:
+                xx[:, i, j] = xx[:, j, i] = pdf[f"xx_{i}_{j}"].to_numpy()
+            xy = pdf[[f"xy_{i}" for i in range(p)]].to_numpy(float)
             # all p×p systems of the batch at once; the pseudo-inverse handles rank-deficient windows
             beta = (np.linalg.pinv(xx, rcond=p * np.finfo(float).eps, hermitian=True) @ xy[..., None])[..., 0]
-            out = pdf.drop(columns=[c for c in pdf.columns if c.startswith("xx_") or c.startswith("xy_")])
+            out = pdf[["target", "prior_length", "rho", "r_t"]].copy()
             for i in range(p):
                 out[f"b{i}"] = beta[:, i]
             yield out
     return solve
 
 
+def _fit_multi(centred: DataFrame, points: DataFrame, xcols: Sequence[str]) -> DataFrame:
+    """Coefficients b0.. (on centred and scaled columns) of every point, solved batch by batch."""
+    feats = [F.lit(1.0)] + [F.col(f"c_{c}") for c in xcols]
+    p = len(feats)
+    terms = {f"xx_{i}_{j}": feats[i] * feats[j] for i in range(p) for j in range(i, p)}
+    terms |= {f"xy_{i}": feats[i] * F.col("c_y") for i in range(p)}
+    sums = _discounted_sums(centred, points, xcols, terms)
+    schema = "target string, prior_length int, rho double, r_t int, " + ", ".join(f"b{i} double" for i in range(p))
+    return sums.mapInPandas(_solve_batch(p), schema)
+
+
+def _predicted(xcols: Sequence[str]):
+    pred = F.col("m_y") + F.col("b0")
+    for i, c in enumerate(xcols, start=1):
+        pred = pred + F.col(f"b{i}") * F.col(f"c_{c}")
+    return pred
+
+
 def backtest_multi(design: DataFrame, grid: DataFrame, xcols: Sequence[str], n_test: int = 4) -> DataFrame:
     """i13: weighted least squares with an intercept and several regressors, 1-step-ahead backtest.
 
-    Spark forms Σ w·x·xᵀ and Σ w·x·y per (target, grid point, origin); a
+    Spark forms the sums of every (target, grid point, origin); a
     ``mapInPandas`` step solves the small systems batch by batch. A grid point
     with ``rho = 0`` weighs nothing and keeps its rows with a NULL prediction.
+    A rank-deficient window takes the smallest coefficients on columns
+    measured in deviations.
     """
     xcols = list(xcols)
-    gp = _grid_origins(design, grid.where(F.col("rho") > 0), n_test)
-    tr = _training(design, gp, xcols)
-    feats = [F.lit(1.0)] + [F.col(c).cast("double") for c in xcols]
-    p = len(feats)
-    w, y = F.col("w"), F.col("y")
-    aggs = [F.sum(w * feats[i] * feats[j]).alias(f"xx_{i}_{j}") for i in range(p) for j in range(p)]
-    aggs += [F.sum(w * feats[i] * y).alias(f"xy_{i}") for i in range(p)]
-    s = tr.groupBy("target", "prior_length", "rho", "r_t").agg(*aggs)
-    schema = "target string, prior_length int, rho double, r_t int, " + ", ".join(f"b{i} double" for i in range(p))
-    coef = s.mapInPandas(_solve_batch(p), schema)
-    j = coef.join(_actuals(design, xcols), ["target", "r_t"])
-    pred = F.col("b0")
-    for i, c in enumerate(xcols, start=1):
-        pred = pred + F.col(f"b{i}") * F.col(c)
-    out = j.select("target", "prior_length", "rho", "date", "actual", pred.alias("pred"))
-    unweighted = (_grid_origins(design, grid.where(F.col("rho") <= 0), n_test)
-                  .join(_actuals(design, xcols), ["target", "r_t"]))
-    return out.unionByName(unweighted.select("target", "prior_length", "rho", "date", "actual",
-                                             F.lit(None).cast("double").alias("pred")))
+    centred = _centred(design, xcols, scaled=True)
+    points = _grid_origins(design, grid, n_test)
+    known = centred.where(F.col("y").isNotNull()).select("target", F.col("r").alias("r_t"), "date", F.col("y").alias("actual"),
+                                                         "m_y", *[f"c_{c}" for c in xcols])
+    out = _fit_multi(centred, points.where(F.col("rho") > 0), xcols).join(known, ["target", "r_t"])
+    unweighted = points.where(F.col("rho") <= 0).join(known, ["target", "r_t"])
+    cols = ["target", "prior_length", "rho", "date", "actual"]
+    return out.select(*cols, _predicted(xcols).alias("pred")).unionByName(
+        unweighted.select(*cols, F.lit(None).cast("double").alias("pred")))
+
+
+def forecast_multi(design: DataFrame, best: DataFrame, xcols: Sequence[str]) -> DataFrame:
+    """i14: refit every target's best grid point on all known rows and predict the future rows.
+
+    One batch of systems for all targets; every future row of a target uses
+    the same coefficients, fitted on data before the first of them.
+    """
+    xcols = list(xcols)
+    centred = _centred(design, xcols, scaled=True)
+    fut = _future(centred)
+    points = best.select("target", "prior_length", "rho").join(fut.groupBy("target").agg(F.min("r").alias("r_t")), "target")
+    coef = _fit_multi(centred, points, xcols).drop("prior_length", "rho", "r_t")
+    return fut.join(coef, "target").select("target", "date", _predicted(xcols).alias("forecast"))

@@ -9,12 +9,15 @@ and the final wide panel is a single pivot over a supplied item list.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions._util import as_col
 from ..functions.nulls import dash_to_zero, lossy_double, ne_keep_null, safe_div
+from ..session import cut_lineage
+from .quantiles import exact_quantiles
 
 
 # ---- b01 / b02 / b03 / b25 ---------------------------------------------------
@@ -169,38 +172,61 @@ def correlated_pairs(corr: DataFrame, threshold: float = 0.75) -> DataFrame:
     return corr.where(F.abs("r") > threshold)
 
 
-def correlated_drop_list(corr: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """e02: drop the later column of every strongly correlated pair."""
-    return correlated_pairs(corr, threshold).select(F.col("b").alias("column")).distinct()
+def correlated_drop_list(corr: DataFrame, columns: Sequence[str], threshold: float = 0.75) -> DataFrame:
+    """e02: greedy drop list over the columns in their order.
 
+    A column is dropped when it correlates above the threshold with an earlier
+    column that was itself kept, so of a~b, b~c only b goes. The recursion
+    walks the ordered columns once; its state is the list of survivors.
+    """
+    spark = corr.sparkSession
+    columns = list(columns)
+    tag = f"__corr_{uuid4().hex}"
+    # at most p * p / 2 pairs: one row that holds every column's earlier partners
+    pairs = correlated_pairs(corr, threshold)
+    partners = pairs.select(F.col("a").alias("e"), F.col("b").alias("l")).unionByName(
+        pairs.select(F.col("b").alias("e"), F.col("a").alias("l")))
+    place = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
+    ordered = (partners.select("e", "l", place[F.col("e")].alias("i"), place[F.col("l")].alias("j")).where("i < j")
+               .groupBy("j").agg(F.collect_set("e").alias("earlier")))
+    steps = spark.createDataFrame(list(enumerate(columns)), "i int, name string").join(
+        ordered, F.col("i") == F.col("j"), "left").select("i", "name", F.coalesce("earlier", F.array().cast("array<string>")).alias("earlier"))
+    cut_lineage(steps).createOrReplaceTempView(tag)
+    try:
+        walked = spark.sql(f"""
+            WITH RECURSIVE walk(i, kept, dropped) MAX RECURSION LEVEL {len(columns) + 1} AS (
+              SELECT CAST(-1 AS INT), CAST(array() AS ARRAY<STRING>), CAST(NULL AS STRING)
+              UNION ALL
+              SELECT s.i, CASE WHEN arrays_overlap(w.kept, s.earlier) THEN w.kept ELSE array_append(w.kept, s.name) END,
+                     CASE WHEN arrays_overlap(w.kept, s.earlier) THEN s.name END
+              FROM walk w JOIN {tag} s ON s.i = w.i + 1)
+            SELECT dropped AS `column` FROM walk WHERE dropped IS NOT NULL""")
+        return cut_lineage(walked)
+    finally:
+        spark.catalog.dropTempView(tag)
 
-# ---- e09 / i03 -----------------------------------------------------------------------
-def quartile_edges(df: DataFrame, col: str, exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """e09: quartile edges (linear interpolation, as pandas) as one row (e1, e2, e3).
 
-    ``exact`` uses ``percentile`` (panel sized: companies × periods);
-    otherwise ``percentile_approx`` whose memory does not grow with the data.
-    """
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    agg = F.percentile(col, qs) if exact else F.percentile_approx(col, qs, accuracy)
-    e = df.agg(agg.alias("e"))
-    return e.select(F.col("e")[0].alias("e1"), F.col("e")[1].alias("e2"), F.col("e")[2].alias("e3"))
+# ---- e09 / i03 -----------------------------------------------------------------------
+def quartile_edges(df: DataFrame, col: str) -> DataFrame:
+    """e09: exact quartile edges (linear interpolation, as pandas) as one row (e1, e2, e3)."""
+    return exact_quantiles(df, col, (0.25, 0.5, 0.75), ("e1", "e2", "e3"))
 
 
-def quartile_label(df: DataFrame, col: str, out: str = "quartile", exact: bool = True) -> DataFrame:
+def quartile_label(df: DataFrame, col: str, out: str = "quartile") -> DataFrame:
     """e09: Q1..Q4 label, right-closed bins, lowest value in Q1 (pandas qcut)."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    e = df.select((F.percentile(col, qs) if exact else F.percentile_approx(col, qs, 100000)).alias("e")).scalar()
-    e1, e2, e3 = e[0], e[1], e[2]  # one scalar subquery for all three edges
+    edges = quartile_edges(df, col).first()  # three numbers; none where the column has no value
     x = F.col(col)
-    lab = (F.when(x.isNull(), F.lit(None))
-            .when(x <= e1, "Q1").when(x <= e2, "Q2").when(x <= e3, "Q3").otherwise("Q4"))
-    return df.withColumn(out, lab)
+    if edges is None:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    lab = F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(None))
+    for name, edge in zip(("Q1", "Q2", "Q3"), edges):
+        lab = lab.when(x <= edge, name)
+    return df.withColumn(out, lab.otherwise("Q4"))
 
 
-def quartile_dummies(df: DataFrame, col: str, prefix: str = "quartile_", exact: bool = True) -> DataFrame:
+def quartile_dummies(df: DataFrame, col: str, prefix: str = "quartile_") -> DataFrame:
     """i03: quartile dummies Q2..Q4 (first dropped) as 0/1 integers."""
-    lab = quartile_label(df, col, "__q", exact)
+    lab = quartile_label(df, col, "__q")
     return lab.withColumns({f"{prefix}q{i}": F.when(F.col("__q") == f"Q{i}", 1).otherwise(0)
                             for i in (2, 3, 4)}).drop("__q")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
 from ..operators import panel as P
+from ..session import cut_lineage
 from .jobs_panel import MACRO_CTES, macro_sql, macro_wide
 from .jobs_timeseries import REGION_COLS
 from .registry import register
@@ -21,7 +22,6 @@ def design(t):
     """The design matrix is calendar-sized (targets × quarters) and feeds every backtest
     branch, so it is materialised once in the checkpoint folder instead of re-deriving
     it from the order table in each branch."""
-    from ..session import cut_lineage
     return cut_lineage(FC.design_matrix(macro_wide(t), SERIES, "crisis_dummy", extend=2, lag=2, skip=3))
 
 
@@ -46,31 +46,32 @@ DESIGN_CTES = MACRO_CTES + [
                FROM (SELECT DISTINCT target FROM dsg), range(0, 10) a(i), range(0, 10) b(j)"""),
     ("lastk", "SELECT target, max(r) AS last_r FROM dsg WHERE y IS NOT NULL GROUP BY target"),
     ("gpo", f"SELECT g.target, prior_length, rho, last_r - k AS r_t FROM grd g JOIN lastk USING (target), range(0, {N_TEST}) o(k)"),
-    ("trn", """SELECT g.target, g.prior_length, g.rho, g.r_t, d.y, d.own_lag AS x, pow(g.rho, g.r_t - 1 - d.r) AS w
-               FROM gpo g JOIN dsg d ON d.target = g.target AND d.r BETWEEN g.r_t - g.prior_length AND g.r_t - 1
+    ("ctr", "SELECT target, avg(own_lag) AS mx, avg(y) AS my FROM dsg WHERE y IS NOT NULL AND own_lag IS NOT NULL GROUP BY target"),
+    ("trn", """SELECT g.target, g.prior_length, g.rho, g.r_t, d.y - my AS y, d.own_lag - mx AS x, pow(g.rho, g.r_t - 1 - d.r) AS w
+               FROM gpo g JOIN ctr USING (target) JOIN dsg d ON d.target = g.target AND d.r BETWEEN g.r_t - g.prior_length AND g.r_t - 1
                WHERE d.y IS NOT NULL AND d.own_lag IS NOT NULL"""),
     ("sums", """SELECT target, prior_length, rho, r_t, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy,
                        sum(w * x * x) AS swxx, sum(w * x * y) AS swxy FROM trn GROUP BY ALL"""),
     ("coef", """SELECT *, (sw * swxy - swx * swy) / nullif(sw * swxx - swx * swx, 0) AS slope FROM sums"""),
     ("preds", """SELECT c.target, c.prior_length, c.rho, d.date, d.y AS actual,
-                        (c.swy - c.slope * c.swx) / nullif(c.sw, 0) + c.slope * d.own_lag AS pred
-                 FROM coef c JOIN dsg d ON d.target = c.target AND d.r = c.r_t WHERE d.y IS NOT NULL"""),
+                        my + (c.swy - c.slope * c.swx) / nullif(c.sw, 0) + c.slope * (d.own_lag - mx) AS pred
+                 FROM coef c JOIN ctr USING (target) JOIN dsg d ON d.target = c.target AND d.r = c.r_t WHERE d.y IS NOT NULL"""),
     ("mets", """SELECT target, prior_length, rho, avg(abs(pred - actual)) AS mae, sqrt(avg((pred - actual) * (pred - actual))) AS rmse
                 FROM preds GROUP BY ALL"""),
-    ("best", """SELECT target, arg_min(prior_length, (rmse, prior_length, rho)) AS prior_length,
-                       arg_min(rho, (rmse, prior_length, rho)) AS rho, min(rmse) AS rmse,
-                       arg_min(mae, (rmse, prior_length, rho)) AS mae
+    ("best", """SELECT target, arg_min(prior_length, (round(rmse, 4), prior_length, rho)) AS prior_length,
+                       arg_min(rho, (round(rmse, 4), prior_length, rho)) AS rho, arg_min(rmse, (round(rmse, 4), prior_length, rho)) AS rmse,
+                       arg_min(mae, (round(rmse, 4), prior_length, rho)) AS mae
                 FROM mets WHERE rmse IS NOT NULL GROUP BY target"""),
     ("fut", """SELECT d.* FROM dsg d JOIN lastk USING (target) WHERE d.r > lastk.last_r"""),
-    ("ftr", """SELECT b.target, f0.r_t, d.y, d.own_lag AS x, pow(b.rho, f0.r_t - 1 - d.r) AS w
-               FROM best b JOIN (SELECT target, min(r) AS r_t FROM fut GROUP BY target) f0 USING (target)
+    ("ftr", """SELECT b.target, f0.r_t, d.y - my AS y, d.own_lag - mx AS x, pow(b.rho, f0.r_t - 1 - d.r) AS w
+               FROM best b JOIN ctr USING (target) JOIN (SELECT target, min(r) AS r_t FROM fut GROUP BY target) f0 USING (target)
                JOIN dsg d ON d.target = b.target AND d.r BETWEEN f0.r_t - b.prior_length AND f0.r_t - 1
                WHERE d.y IS NOT NULL AND d.own_lag IS NOT NULL"""),
     ("fco", """SELECT target, (sw * swxy - swx * swy) / nullif(sw * swxx - swx * swx, 0) AS slope, sw, swx, swy FROM (
                  SELECT target, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy, sum(w * x * x) AS swxx,
                         sum(w * x * y) AS swxy FROM ftr GROUP BY target)"""),
-    ("fc", """SELECT f.target, f.date, (c.swy - c.slope * c.swx) / nullif(c.sw, 0) + c.slope * f.own_lag AS forecast
-              FROM fut f JOIN fco c USING (target)"""),
+    ("fc", """SELECT f.target, f.date, my + (c.swy - c.slope * c.swx) / nullif(c.sw, 0) + c.slope * (f.own_lag - mx) AS forecast
+              FROM fut f JOIN ctr USING (target) JOIN fco c USING (target)"""),
     ("band", """SELECT fc.target, fc.date, fc.forecast, fc.forecast - sd.sd AS lower, fc.forecast + sd.sd AS upper
                 FROM fc JOIN (SELECT target, stddev_samp(y) AS sd FROM dsg WHERE y IS NOT NULL GROUP BY target) sd USING (target)"""),
 ]
@@ -103,11 +104,10 @@ def i12(t):
     return grid(t)
 
 
-# backtest values are money-sized (1e5..1e6) and the closed form subtracts
-# nearly equal weighted sums at small rho: compare them to 0.1
+# backtest values are money-sized (1e5..1e6): 3 decimals are 8 to 9 digits
 @register("i15_backtest_predictions", sql("SELECT target, prior_length, round(rho, 6) AS rho, date, "
-                                          "round(actual, 1) AS actual, round(pred, 1) AS pred FROM preds"),
-          digits={"actual": 1, "pred": 1, "*": 6})
+                                          "round(actual, 3) AS actual, round(pred, 3) AS pred FROM preds"),
+          digits={"actual": 3, "pred": 3, "*": 6})
 def i15(t):
     """1-step-ahead predictions of the discount-weighted one-regressor model at each origin and grid point."""
     d = design(t)
@@ -119,8 +119,8 @@ def metrics(t):
     return FC.error_metrics(FC.backtest_simple(d, grid(t, d), "own_lag", N_TEST), ["target", "prior_length", "rho"])
 
 
-@register("e06_backtest_errors", sql("SELECT target, prior_length, round(rho, 6) AS rho, round(mae, 1) AS mae, "
-                                     "round(rmse, 1) AS rmse FROM mets"), digits={"mae": 1, "rmse": 1, "*": 6})
+@register("e06_backtest_errors", sql("SELECT target, prior_length, round(rho, 6) AS rho, round(mae, 3) AS mae, "
+                                     "round(rmse, 3) AS rmse FROM mets"), digits={"mae": 3, "rmse": 3, "*": 6})
 def e06(t):
     """MAE and RMSE per (target, grid point)."""
     return metrics(t)
@@ -185,3 +185,16 @@ def i13(t):
     d = design(t)
     p = FC.backtest_multi(d, grid(t, d), [*LAGS, "crisis_dummy"], N_TEST)
     return FC.error_metrics(p, ["target", "prior_length", "rho"])
+
+
+@register("i14_forecast_multi", digits={"*": 2, "rho": 6})
+def i14_multi(t):
+    """The multi-regressor model to its end: best grid point by RMSE, refit, two quarters ahead, appended to the actuals."""
+    d = design(t)
+    xcols = [*LAGS, "crisis_dummy"]
+    best = FC.best_params(FC.error_metrics(FC.backtest_multi(d, grid(t, d), xcols, N_TEST), ["target", "prior_length", "rho"]))
+    best = cut_lineage(best)  # one row a target, read for the refit and the result
+    act = d.where(F.col("y").isNotNull()).select("target", "date", F.col("y").alias("value"))
+    ahead = FC.forecast_multi(d, best, xcols).select("target", "date", F.col("forecast").alias("value"))
+    out = P.union_files([act.withColumn("is_forecast", F.lit(False)), ahead.withColumn("is_forecast", F.lit(True))])
+    return out.join(best.select("target", "prior_length", "rho", "rmse"), "target", "left")

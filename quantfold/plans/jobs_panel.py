@@ -445,10 +445,21 @@ def e02(t):
     return P.correlated_pairs(corr_df(t), 0.75)
 
 
-@register("e02_drop_list", with_views(["panel_customer"], f"SELECT DISTINCT b AS \"column\" FROM ({corr_sql()}) WHERE abs(r) > 0.75"))
+def drop_list_sql() -> str:
+    """The greedy walk column by column: each one's verdict joins the survivors so far."""
+    ctes = ["strong AS (SELECT a, b FROM (" + corr_sql() + ") WHERE abs(r) > 0.75)", "s0 AS (SELECT CAST([] AS VARCHAR[]) AS kept)"]
+    for i, c in enumerate(CORR_COLS):
+        ctes.append(f"""s{i + 1} AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM strong WHERE (b = '{c}' AND list_contains(s{i}.kept, a))
+                        OR (a = '{c}' AND list_contains(s{i}.kept, b))) THEN s{i}.kept ELSE list_append(s{i}.kept, '{c}') END AS kept FROM s{i})""")
+    cols = ", ".join(f"'{c}'" for c in CORR_COLS)
+    return f"""SELECT name AS "column" FROM (WITH {', '.join(ctes)}
+        SELECT u.name, s.kept FROM (SELECT unnest([{cols}]) AS name) u, s{len(CORR_COLS)} s) WHERE NOT list_contains(kept, name)"""
+
+
+@register("e02_drop_list", with_views(["panel_customer"], drop_list_sql()))
 def e02_drop(t):
-    """Columns to drop: the later member of each strongly correlated pair."""
-    return P.correlated_drop_list(corr_df(t), 0.75)
+    """Columns to drop: in column order, each one that correlates with an earlier survivor."""
+    return P.correlated_drop_list(corr_df(t), CORR_COLS, 0.75)
 
 
 QEDGES = "(SELECT quantile_cont(market_cap, [0.25, 0.5, 0.75]) AS e FROM panel)"
