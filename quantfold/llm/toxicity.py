@@ -11,7 +11,7 @@
    quarters are counted. ``SEED_WORDS`` are a lexicon of their own.
 3. **Features** of every whole text: densities of both lexicons, distinct
    entries and summed weights, lexicon hits within five words of a
-   second-person pronoun, pronoun density, capitals, shouted words,
+   second-person pronoun, pronoun density, capitals (A-Z) and runs of three of them,
    punctuation, words written with digits or symbols for letters, the lexicon
    hits that appear once these are undone, letter runs, and length.
 4. **Trees** (Spark ML) on the features; the share of their votes is mapped to
@@ -34,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,9 @@ FEATURES = ("hits_per_word", "hits", "distinct_hits", "weight_per_word", "weight
             "disguised_hits", "letter_runs", "log_words")
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
-_DISGUISED = re.compile(r"(?=[\w@$!]*[^\W\d_])[^\W_]*[013457@$!](?=[\w@$!]*[^\W\d_])[\w@$!]*[^\W_]")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_SIGN = re.compile(r"[013457@$!]")
+_GAP = re.compile(r"[ \n]")
+_EDGES = ".,;:!?\"'()[]"
 _NEAR = 5
 
 
@@ -126,6 +128,7 @@ class Scorer:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.heads = {e.rstrip("-")[:4] for e in lexicon}
+        self.known = SECOND_PERSON | SEED_WORDS
 
     def weight(self, word: str) -> tuple[float, str]:
         """(largest weight, its entry) of a word; 0 without an entry."""
@@ -133,30 +136,55 @@ class Scorer:
             return 0.0, ""
         return max((self.lexicon.get(e, 0.0), e) for e in entries_of(word))
 
+    def disguised(self, text: str) -> list[str]:
+        """Words between white space that hold a digit or symbol between letters."""
+        out, end = [], 0
+        for m in _SIGN.finditer(text):
+            if m.start() < end:
+                continue
+            # only the stretch since the last word is searched, so a long text costs its length
+            start = max(end, text.rfind(" ", end, m.start()) + 1, text.rfind("\n", end, m.start()) + 1)
+            after = _GAP.search(text, m.end())
+            end = after.start() if after else len(text)
+            word = text[start:end].strip(_EDGES)
+            inner = word[1:-1]
+            if word[:1].isalpha() and word[-1:].isalpha() and not inner.isalpha() and _SIGN.search(inner) and word.replace(
+                    "@", "").replace("$", "").replace("!", "").isalnum():
+                out.append(word)
+        return out
+
     def features(self, text: str) -> list[float]:
-        words = _WORD.findall(text)
+        words = _WORD.findall(text.lower())
         n = max(1, len(words))
-        lower = [w.lower() for w in words]
-        found = [(i, *self.weight(w)) for i, w in enumerate(lower) if w[:4] in self.heads]
-        found = [f for f in found if f[1] > 0]
-        you = [i for i, w in enumerate(lower) if w in SECOND_PERSON]
-        seed = [i for i, w in enumerate(lower) if w in SEED_WORDS]
+        heads, known = self.heads, self.known
+        marked = [(i, w) for i, w in enumerate(words) if w in known or w[:4] in heads]
+        found = [(i, *f) for i, w in marked if (f := self.weight(w))[0] > 0]
+        you = [i for i, w in marked if w in SECOND_PERSON]
+        seed = [i for i, w in marked if w in SEED_WORDS]
         near, k = 0, 0
         for i in sorted({f[0] for f in found}.union(seed)):
             while k < len(you) and you[k] < i - _NEAR:
                 k += 1
             near += k < len(you) and you[k] <= i + _NEAR
         hits = len(found)
-        disguised = _DISGUISED.findall(text)
+        disguised = self.disguised(text)
         undone = [d.lower().translate(LOOKALIKES) for d in disguised]
-        letters = max(1, sum(map(len, words)))
-        capitals = sum(map(str.isupper, text))
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        capital = (code >= 65) & (code <= 90)
+        letter = capital | ((code >= 97) & (code <= 122)) | (code >= 0xC0)
+        same = (code[1:] == code[:-1]) & letter[1:]
+        letters = max(1, int(letter.sum()))
         return [hits / n, math.log1p(hits), math.log1p(len({f[2] for f in found})), sum(f[1] for f in found) / n,
-                max((f[1] for f in found), default=0.0), len(seed) / n, near / max(1, len(found)), math.log1p(near), len(you) / n,
-                capitals / letters, sum(len(w) > 2 and w.isupper() for w in words) / n,
+                max((f[1] for f in found), default=0.0), len(seed) / n, near / max(1, hits), math.log1p(near), len(you) / n,
+                int(capital.sum()) / letters, _runs(capital[2:] & capital[1:-1] & capital[:-2]) / n,
                 sum(map(text.count, ".,;:-\"'()")) / max(1, len(text)), (text.count("!") + text.count("?")) / n,
                 len(disguised) / n, float(sum(w in SEED_WORDS or self.weight(w)[0] > 0 for w in undone)),
-                len(_RUN.findall(text)) / n, math.log1p(len(words))]
+                _runs(same[1:] & same[:-1]) / n, math.log1p(len(words))]
+
+
+def _runs(on: np.ndarray) -> int:
+    """Runs of true values."""
+    return int(on[:1].sum() + (on[1:] & ~on[:-1]).sum())
 
 
 def featurise(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> DataFrame:
