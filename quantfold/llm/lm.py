@@ -64,7 +64,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Shared, Words, materialise, mix, slices
+from ._common import Shared, Words, materialise, mix, release, slices
 
 #: Bytes of text a batch holds (a longer document is a batch of its own), and bytes split into words at once.
 BATCH_BYTES, PIECE_BYTES = 16 << 20, 4 << 20
@@ -455,6 +455,8 @@ def score(docs: DataFrame, *, shards: int | None = None, seed: int = 1) -> DataF
     whole = answers.filter("batch = -1").agg(F.sum("types").alias("types"), F.sum("tables").alias("tables")).first()
     types, tables = whole["types"] or 0, whole["tables"] or 0.0
     types += key_answers.filter("batch = -1").agg(F.sum("types")).first()[0] or 0
+    del dealt
+    release(spark)
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r, right = left.iloc[0], right.sort_values("shard")
