@@ -55,6 +55,21 @@ def _located(ranks: DataFrame, steps: DataFrame, keys: list[str], order: str) ->
                     F.col("c.__m").alias("__n")))
 
 
+def _narrowed(rows: DataFrame, ranks: DataFrame, keys: list[str], most: int, buckets: int) -> DataFrame:
+    """``ranks`` with the value of their row as both ends of their interval."""
+    ranks = cut_lineage(ranks)
+    while (ranks.where("__lo < __hi").agg(F.max("__n")).first()[0] or 0) > most:
+        # halves keep the width of an interval finite
+        place = (F.col("__x") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * buckets
+        steps = (_inside(rows, ranks, keys).withColumn("__step", F.least(F.floor(place), F.lit(buckets - 1).cast("long")))
+                 .groupBy(*keys, *_SPAN, "__step")
+                 .agg(F.count("*").alias("__m"), F.min("__x").alias("__from"), F.max("__x").alias("__to")))
+        ranks = cut_lineage(ranks.where("__lo = __hi").unionByName(_located(ranks, steps, keys, "__step")))
+    values = (_inside(rows, ranks, keys).groupBy(*keys, *_SPAN, F.col("__x").alias("__from"))
+              .agg(F.count("*").alias("__m")).withColumn("__to", F.col("__from")))
+    return ranks.where("__lo = __hi").unionByName(_located(ranks, values, keys, "__from"))
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequence[str], keys: Sequence[str] = (),
                     most: int = 100_000, buckets: int = 4096) -> DataFrame:
     """One row per key: the quantiles ``qs`` of ``col`` (linear interpolation) as columns ``names``.
@@ -70,19 +85,18 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
     ranks = ends.where("__n > 0").select("*", F.explode(wanted).alias("__w")).select(
         *keys, F.col("__w.q").alias("__q"), F.col("__w.up").alias("__up"), (F.col("__w.at") - F.floor("__w.at")).alias("__share"),
         F.when(F.col("__w.up") == 0, F.floor("__w.at")).otherwise(F.ceil("__w.at")).alias("__k"), "__lo", "__hi", "__n")
-    ranks = cut_lineage(ranks)
-    while (ranks.where("__lo < __hi").agg(F.max("__n")).first()[0] or 0) > most:
-        # halves keep the width of an interval finite
-        place = (F.col("__x") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * buckets
-        steps = (_inside(rows, ranks, keys).withColumn("__step", F.least(F.floor(place), F.lit(buckets - 1).cast("long")))
-                 .groupBy(*keys, *_SPAN, "__step")
-                 .agg(F.count("*").alias("__m"), F.min("__x").alias("__from"), F.max("__x").alias("__to")))
-        ranks = cut_lineage(ranks.where("__lo = __hi").unionByName(_located(ranks, steps, keys, "__step")))
-    values = (_inside(rows, ranks, keys).groupBy(*keys, *_SPAN, F.col("__x").alias("__from"))
-              .agg(F.count("*").alias("__m")).withColumn("__to", F.col("__from")))
-    found = ranks.where("__lo = __hi").unionByName(_located(ranks, values, keys, "__from"))
+    found = _narrowed(rows, ranks, keys, most, buckets)
     at = lambda i, up: F.max(F.when((F.col("__q") == i) & (F.col("__up") == up), F.col("__lo")))
     share = lambda i: F.max(F.when(F.col("__q") == i, F.col("__share")))
     cols = [(at(i, 0) + (at(i, 1) - at(i, 0)) * share(i)).alias(n) for i, n in enumerate(names)]
     out = found.groupBy(*keys).agg(F.count("*").alias("__rows"), *cols)
     return out.where("__rows > 0").drop("__rows")
+
+
+def value_at(df: DataFrame, col: str, position: int, most: int = 100_000, buckets: int = 4096) -> float:
+    """The value at 0-based ``position`` of the ascending order of ``col`` (no NULL or NaN in it)."""
+    rows = df.select(F.col(col).cast("double").alias("__x"))
+    ends = rows.agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    ranks = ends.select(F.lit(0).alias("__q"), F.lit(0).alias("__up"), F.lit(0.0).alias("__share"),
+                        F.lit(position).cast("long").alias("__k"), "__lo", "__hi", "__n")
+    return _narrowed(rows, ranks, [], most, buckets).first()["__lo"]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.nulls import safe_div
+from .ranking import top_rows
 
 
 # ---- sentences / paragraphs (h08, h10, f11, c07) ----------------------------------
@@ -159,33 +160,6 @@ def first_by(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str])
               .select(key, *[F.col(f"__p.{c}").alias(c) for c in cols if c != key]))
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], partitions: int | None = None,
-                with_total: bool = False):
-    """Exact 1-based rank over a total order without a single-partition window.
-
-    Range-partition on the order and materialise that once in the reliable
-    checkpoint folder; number rows inside each partition and add the row
-    counts of all earlier partitions (a table with one row per partition).
-    The input is computed once; the total row count comes from the
-    checkpoint. Returns the ranked frame, or (frame, total) when asked.
-    """
-    from ..session import cut_lineage
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = cut_lineage(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
-    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offs = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
-    local = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))
-    # one row per partition: bounded by the partition count
-    ranked = (s.withColumn("__local", local).join(F.broadcast(offs), "__pid")
-                .withColumn("rank", (F.col("__off") + F.col("__local")).cast("bigint"))
-                .drop("__pid", "__local", "__off"))
-    if with_total:
-        return ranked, s.count()
-    return ranked
-
-
-def top_fraction(df: DataFrame, order: Sequence[Column], fraction: float) -> DataFrame:
-    """g02: the first floor(n · fraction) rows in ``order`` (exact, distributed, one pass over the input)."""
-    ranked, n = global_rank(df, order, with_total=True)
-    return ranked.where(F.col("rank") <= F.floor(F.lit(n) * F.lit(fraction))).drop("rank")
+def top_fraction(df: DataFrame, score: str, ties: Sequence[Column], fraction: float) -> DataFrame:
+    """g02: the floor(n · fraction) rows with the highest score, ties in the order of ``ties`` (exact, nothing sorted)."""
+    return top_rows(df, score, ties, fraction=fraction)

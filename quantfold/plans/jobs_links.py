@@ -7,8 +7,26 @@ from pyspark.sql import functions as F
 from ..operators import links as L
 from .registry import register
 
-SQL_LINKS = """SELECT page_id AS source_id, url AS base, CAST(unnest(range(len(arr))) AS INTEGER) AS pos, unnest(arr) AS href
-FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS arr FROM pages)"""
+def _re2(pattern: str) -> str:
+    """The pattern without possessive marks (DuckDB's engine is linear anyway), quoted for SQL."""
+    return pattern.replace("++", "+").replace("*+", "*").replace("'", "''")
+
+
+def _decoded(x: str) -> str:
+    for reference, sign in L.REFERENCES:
+        x = f"replace({x}, '{reference}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+SQL_LINKS = f"""SELECT source_id, base, CAST(row_number() OVER (PARTITION BY source_id ORDER BY i) - 1 AS INTEGER) AS pos, href, text FROM (
+  SELECT source_id, base, i, text, {_decoded("CASE WHEN raw[1] IN ('\"', '''') THEN raw[2:length(raw) - 1] ELSE raw END")} AS href FROM (
+    SELECT source_id, base, i, regexp_replace(regexp_extract(piece, '{_re2(L.CONTENT)}', 2), '<[^>]*>', '', 'g') AS text,
+           regexp_extract_all(attrs, '{_re2(L.ATTRIBUTE)}', 2)[list_position(regexp_extract_all(lower(attrs), '{_re2(L.ATTRIBUTE)}', 1), 'href')] AS raw
+    FROM (SELECT *, regexp_extract(piece, '{_re2(L.ATTRIBUTES)}', 1) AS attrs FROM (
+      SELECT page_id AS source_id, url AS base, unnest(pieces[2:]) AS piece, unnest(range(len(pieces) - 1)) AS i FROM (
+        SELECT page_id, url, string_split(regexp_replace(regexp_replace(html, '{_re2(L.NOISE)}', '', 'g'),
+               '{_re2(L.A_TAG)}', chr(1) || '\\1', 'g'), chr(1)) AS pieces FROM pages))))
+  WHERE raw IS NOT NULL)"""
 
 
 def sql_abs(h: str, b: str) -> str:
@@ -65,33 +83,44 @@ def h16(t):
 
 
 G04_WORDS = ["the"]
+#: The stored pages hold no PDF links, so any path qualifies here; the operator's default is ``.+\\.pdf``.
+G04_PATTERN = "/[a-z]+"
+
+
+def sql_fits(url: str) -> str:
+    return " AND ".join([f"regexp_matches({url}, '{G04_PATTERN}')",
+                         *(f"regexp_matches({url}, '(?i)(^|[^\\p{{L}}]){w}')" for w in G04_WORDS)])
+
+
+SQL_URLS = f"(SELECT source_id, pos, text, {sql_abs('href', 'base')} AS url FROM ({SQL_LINKS}))"
 
 
 @register("g04_best_link", f"""
 SELECT source_id, arg_max(url, (regexp_extract(url, '([0-9]{{4}})', 1), -pos)) AS url
-FROM (SELECT source_id, pos, {sql_abs('href', 'base')} AS url FROM ({SQL_LINKS}))
-WHERE {' AND '.join(f"regexp_matches(url, '(?i)(^|[^\\p{{L}}]){w}')" for w in G04_WORDS)}
-GROUP BY source_id""")
+FROM {SQL_URLS} WHERE {sql_fits('url')} GROUP BY source_id""")
 def g04(t):
-    """Per page the newest-year link whose title form has every word (no year last, then DOM order)."""
-    return L.best_link(links_abs(t), G04_WORDS)
+    """Per page the newest-year link that matches and whose title form has every word (no year last, then DOM order)."""
+    return L.best_link(t.pages, G04_WORDS, G04_PATTERN)
 
 
 @register("e11_hits_per_source", f"""
-SELECT source_id, max(CASE WHEN {' AND '.join(f"regexp_matches(url, '(?i)(^|[^\\p{{L}}]){w}')" for w in G04_WORDS)} THEN 1 ELSE 0 END) AS found
-FROM (SELECT source_id, pos, {sql_abs('href', 'base')} AS url FROM ({SQL_LINKS})) GROUP BY source_id""")
+SELECT page_id AS source_id, CAST(coalesce(found, 0) AS INTEGER) AS found FROM pages LEFT JOIN (
+  SELECT source_id, max(CASE WHEN {sql_fits('url')} THEN 1 ELSE 0 END) AS found FROM {SQL_URLS} GROUP BY source_id) ON source_id = page_id""")
 def e11(t):
-    """0/1 per page: does any link qualify."""
-    from ..functions.text import has_all_words_at_word_start
-    return L.hits_per_source(links_abs(t), has_all_words_at_word_start("url", G04_WORDS))
+    """0/1 per page: does any link qualify; pages without links count as 0."""
+    return L.hits_per_source(t.pages, G04_WORDS, G04_PATTERN)
+
+
+@register("a12_filtered_links", f"""
+SELECT source_id, pos, href, text FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS rn FROM ({SQL_LINKS})
+  WHERE regexp_matches(href, '^/[A-Z]') AND contains(href, 'h') AND NOT contains(href, '.')) WHERE rn <= 3""")
+def a12_filtered(t):
+    """First 3 links per page whose href matches a pattern, holds a substring and lacks another."""
+    return L.extract_links(t.pages, "^/[A-Z]", must=["h"], must_not=["."], k=3).select("source_id", "pos", "href", "text")
 
 
-@register("h17_headline_links", """
-SELECT source_id, pos, link, headline FROM (
-  SELECT page_id AS source_id, CAST(unnest(range(len(ls))) AS INTEGER) AS pos, unnest(ls) AS link, unnest(hs) AS headline
-  FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS ls,
-               regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS hs FROM pages))
-WHERE contains(headline, 'the')""")
+@register("h17_headline_links", f"""
+SELECT source_id, pos, href AS link, text AS headline FROM ({SQL_LINKS}) WHERE contains(text, 'the')""")
 def h17(t):
     """(headline, link) pairs whose headline contains a phrase."""
     a = L.extract_anchors(t.pages)

@@ -71,7 +71,10 @@ SELECT report_id, page_no, CAST(row_number() OVER (PARTITION BY report_id ORDER
 FROM doc_pages WHERE content IS NOT NULL AND length(content) > 0"""))
 def a06(t):
     """Readable pages with their position in the report (unreadable ones go to a reject output)."""
-    good, _ = R.load_pages(t.doc_pages, "report_id", "page_no", "content")
+    readable = (F.col("content").isNotNull() & (F.length("content") > 0)).alias("ok")
+    # whether a page is readable is all that numbering needs: the text does not travel
+    pages = t.doc_pages.select("report_id", "page_no", F.when(readable, F.lit("x")).alias("content"))
+    good, _ = R.load_pages(pages, "report_id", "page_no", "content")
     return good.select("report_id", "page_no", "page_in_report")
 
 
@@ -114,3 +117,18 @@ def a11(t):
     sel = sentence_selection(t)
     path = S.write_joined_text(sel, "sentence", [F.col("score").desc(), F.col("sentence")], S.scratch_path(t.spark, "summary"))
     return R.read_lines(t.spark, path)
+
+
+def _a11_cluster_sql():
+    body = ORACLES["h18_sentence_selection"]
+    return f"""SELECT CAST(report_id AS VARCHAR) AS cluster, CASE WHEN row_number() OVER (PARTITION BY report_id ORDER BY score DESC, sentence)
+        < count(*) OVER (PARTITION BY report_id) THEN sentence || '. ' ELSE sentence END AS line FROM ({body})"""
+
+
+@register("a11_cluster_texts", _a11_cluster_sql())
+def a11_clusters(t):
+    """One joined text per group of selected sentences (the report), a folder each, read back."""
+    sel = sentence_selection(t)
+    path = S.write_cluster_texts(sel, "report_id", "sentence", [F.col("score").desc(), "sentence"], S.scratch_path(t.spark, "clusters"))
+    lines = t.spark.read.schema("value string, cluster string").text(path)
+    return lines.select("cluster", F.col("value").alias("line"))

@@ -327,10 +327,10 @@ SELECT page_no, round(score, 6) AS score FROM (
   SELECT page_no, score, row_number() OVER (ORDER BY score DESC, page_no) AS rn FROM scored)
 WHERE rn <= floor((SELECT count(*) FROM scored) * 0.025)""", centroid_ctes() + [PAGES] + sql_scores("pg", "page_no", "content")))
 def g02(t):
-    """Top 2.5 % of pages by similarity, int(n · 0.025) rows (exact distributed rank)."""
+    """Top 2.5 % of pages by similarity, int(n · 0.025) rows (exact order statistic, no sort)."""
     cen = X.corpus_centroid(minutes_clean(t), "doc_id", "content")
     s = X.similarity_to_corpus(pages_clean(t), ["page_no"], "content", cen)
-    return X.top_fraction(s, [F.col("score").desc(), F.col("page_no")], 0.025)
+    return X.top_fraction(s, "score", [F.col("page_no")], 0.025)
 
 
 def sentence_selection(t, fraction: float = 0.025, min_hits: int = 5):
@@ -342,7 +342,7 @@ def sentence_selection(t, fraction: float = 0.025, min_hits: int = 5):
     # a distinct sentence is keyed by its first position: numeric keys, not the text
     scored = X.similarity_to_corpus(s, ["page_no", "sent_no"], "sentence", cen)
     s = s.join(scored, ["page_no", "sent_no"])
-    top = X.top_fraction(s, [F.col("score").desc(), F.col("sentence")], fraction)
+    top = X.top_fraction(s, "score", [F.col("sentence")], fraction)
     lex = X.lexicon_words(lexicon_df(t))  # a top-200 list: bounded
     top = top.where(T.lexicon_hits("sentence", lex) > min_hits)
     return top.select("report_id", "page_no", "sent_no", T.replace_chain("sentence").alias("sentence"), "score")

@@ -65,13 +65,13 @@ def load_pages(pages: DataFrame, report_col: str, page_col: str, text_col: str)
     """a06: (pages with their position inside the report, rejected rows).
 
     Unreadable pages (NULL or empty text) go to the reject output instead of
-    failing the job; page numbers come from the data's own order.
+    failing the job; positions follow the pages' own order. A report with
+    most of all pages is numbered over many partitions.
     """
-    from pyspark.sql import Window
+    from ..operators.ranking import numbered
     ok = F.col(text_col).isNotNull() & (F.length(text_col) > 0)
-    good = pages.where(ok)
-    pos = F.row_number().over(Window.partitionBy(report_col).orderBy(page_col))
-    return good.withColumn("page_in_report", pos), pages.where(~ok)
+    good = numbered(pages.where(ok), [F.col(page_col)], [report_col], name="page_in_report")
+    return good.withColumn("page_in_report", F.col("page_in_report").cast("int")), pages.where(~ok)
 
 
 def sector_members(companies: DataFrame, sector: str) -> DataFrame:

@@ -43,13 +43,26 @@ def write_table(df: DataFrame, path: str, partition_by=None) -> str:
 def write_joined_text(df: DataFrame, col: str, order, path: str, sep: str = ". ") -> str:
     """a11: the ordered texts as one document — every piece but the last ends with ``sep``.
 
-    Pieces get an exact distributed rank (range partitions + per-partition
-    offsets) and are written range-sorted, so the part files read in order
-    are the joined text, one piece per line; no single task holds it all.
+    The rows move once, into ordered partitions; the part files read in order
+    are the joined text, one piece per line, and no single task holds it all.
     """
-    from ..operators.text import global_rank
-    ranked, n = global_rank(df, list(order), with_total=True)
-    piece = F.when(F.col("rank") < n, F.concat(F.col(col), F.lit(sep))).otherwise(F.col(col))
-    (ranked.select(piece.alias("value"), "rank").repartitionByRange("rank").sortWithinPartitions("rank")
-           .select("value").write.mode("overwrite").text(path))
+    from ..operators.ranking import numbered
+    ranked = numbered(df, list(order), total="size")
+    piece = F.when(F.col("rank") < F.col("size"), F.concat(F.col(col), F.lit(sep))).otherwise(F.col(col))
+    ranked.select(piece.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+def write_cluster_texts(df: DataFrame, cluster: str, col: str, order, path: str, sep: str = ". ", only=None) -> str:
+    """a11: one joined text per cluster, a folder each; ``only`` writes the chosen cluster alone.
+
+    Rows are numbered within their cluster by one move of the table, so a
+    cluster with most of the rows spans many part files, in order.
+    """
+    from ..operators.ranking import numbered
+    chosen = df if only is None else df.where(F.col(cluster).eqNullSafe(F.lit(only)))
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranked = numbered(chosen, by, [cluster], total="size")
+    piece = F.when(F.col("rank") < F.col("size"), F.concat(F.col(col), F.lit(sep))).otherwise(F.col(col))
+    ranked.select(F.col(cluster).alias("cluster"), piece.alias("value")).write.mode("overwrite").partitionBy("cluster").text(path)
     return path

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantfold.functions import text as T
 from quantfold.operators import links as L
 from quantfold.operators import text as X
+from quantfold.operators.ranking import numbered
 from conftest import rows
 
 
@@ -89,9 +90,9 @@ def test_similarity_identity_and_unknown(spark):
 
 def test_top_fraction_and_global_rank(spark):
     df = spark.createDataFrame([(i, float((i * 37) % 85)) for i in range(85)], "id int, s double")
-    top = rows(X.top_fraction(df, [F.col("s").desc(), F.col("id")], 0.025), "id", "s")
+    top = rows(X.top_fraction(df, "s", [F.col("id")], 0.025), "id", "s")
     assert len(top) == 2 and sorted(s for _, s in top) == [83.0, 84.0]
-    ranked = sorted(rows(X.global_rank(df, [F.col("s").desc(), F.col("id")], partitions=4), "rank", "s"))
+    ranked = sorted(rows(numbered(df, [F.col("s").desc(), F.col("id")], partitions=4), "rank", "s"))
     assert [r for r, _ in ranked] == list(range(1, 86))
     assert [s for _, s in ranked] == sorted((s for _, s in rows(df, "id", "s")), reverse=True)
 
@@ -102,12 +103,6 @@ def test_first_by_keeps_first_copy(spark):
     assert out == [("a", 1, 5), ("b", 1, 1)]
 
 
-def test_best_link(spark):
-    urls = ["/2021-Annual-Report.pdf", "/2023-Annual-Report.pdf", "/2024-Results.pdf", "/Annual-Report.pdf"]
-    df = spark.createDataFrame([(1, i, u) for i, u in enumerate(urls)], "source_id long, pos int, url string")
-    assert rows(L.best_link(df, ["Annual", "Report"]), "url") == [("/2023-Annual-Report.pdf",)]
-
-
 def test_word_start_rule(spark):
     df = spark.createDataFrame([("/AnnualReport.pdf",), ("/annual-report.pdf",)], "u string")
     got = [r[0] for r in rows(df.select(T.has_all_words_at_word_start("u", ["Annual", "Report"])))]
