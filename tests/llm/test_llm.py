@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -184,6 +185,72 @@ def test_line_dedup_removes_later_passages_only(spark):
     assert line_dedup.dedup(none(spark)).count() == 0
 
 
+def lines_removed_by_hand(rows):
+    """Texts after removal: a line goes if it and a neighbour, or a long line alone, occurred before; runs under 10 words stay."""
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0))
+    seen, out = {}, {}
+    for pos, (doc_id, text) in enumerate(order):
+        lines = text.split("\n")
+        for i, x in enumerate(lines):
+            if x.count(" ") >= 49:
+                seen.setdefault((x,), (pos, i))
+            if i + 1 < len(lines):
+                seen.setdefault((x, lines[i + 1]), (pos, i))
+    for pos, (doc_id, text) in enumerate(order):
+        lines = text.split("\n")
+        gone = [False] * len(lines)
+        for i, x in enumerate(lines):
+            if seen.get((x,), (pos, i)) != (pos, i):
+                gone[i] = True
+            if i + 1 < len(lines) and seen[x, lines[i + 1]] != (pos, i):
+                gone[i] = gone[i + 1] = True
+        for on, run in itertools.groupby(range(len(lines)), key=gone.__getitem__):
+            run = list(run)
+            if on and sum(len(lines[i].split()) for i in run) < 10:
+                for i in run:
+                    gone[i] = False
+        out[doc_id] = "\n".join(x for x, g in zip(lines, gone) if not g)
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(17)
+    pool = [" ".join("v%d" % rng.randrange(50) for _ in range(rng.choice([1, 2, 4, 7, 60]))) for _ in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))) for i in range(120)]
+    rows += [(500, "\n".join(pool * 30)), (501, "a b c d e f\n" * 40), (502, ""), (503, None), (None, rows[3][1] + "\nlast")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, lines_removed int, t string").repartition(6)
+    want = lines_removed_by_hand(rows)
+    got = line_dedup.dedup(df).collect()
+    assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] != 503} == want
+    assert all(r["lines_removed"] == (t or "").count("\n") - (r["text"] or "").count("\n") or not r["text"]
+               for r in got for i, t in rows if i == r["doc_id"])
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 4, 8])
+def test_line_dedup_finds_passages_of_any_number_of_lines(spark, lines):
+    rng = random.Random(lines)
+    line = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    passages = [[line(-(-60 // lines)) for _ in range(lines)] for _ in range(40)]
+    rows, planted = [], {}
+    for k, passage in enumerate(passages):
+        for _ in range(3):
+            planted[len(rows)] = set(passage)
+            rows.append("\n".join([line(12), line(9), *passage, line(15)]))
+    got = {r["doc_id"]: r for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    left = {i for i, p in planted.items() if i % 3 and p & set(got[i]["text"].split("\n"))}
+    assert not left and all(got[i]["text"] == rows[i] for i in range(0, len(rows), 3))
+    assert all(got[i]["lines_removed"] == lines for i in range(len(rows)) if i % 3)
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    rows = ["one two three four five six\nseven eight nine ten eleven"] * 3
+    looks = []
+    real = line_dedup._share_a_hash
+    monkeypatch.setattr(line_dedup, "_share_a_hash", lambda marked, seed: looks.append(seed) or real(marked, seed) or len(looks) == 1)
+    got = line_dedup.dedup(frame(spark, rows)).collect()
+    assert looks == [3, 4] and sorted(r["lines_removed"] for r in got) == [0, 2, 2]
+
+
 # 6 ------------------------------------------------------------------------
 
 def test_quality_counts_equal_brute_force(spark, texts):
