@@ -7,7 +7,6 @@ Every job is a function from DataFrames to a DataFrame. Sub-packages:
 * ``operators``  table operators (panel, time series, text, links,
                  portfolio, forecasting, models)
 * ``plans``      composed jobs and the query registry
-* ``streaming``  intentionally empty: the workload has no streams
 """
 
 __version__ = "0.1.0"

@@ -21,11 +21,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
-
+from ..session import cut_lineage
 
 
 # ---- i01: split and folds --------------------------------------------------------------
@@ -105,6 +105,64 @@ def grid_search(train: DataFrame, features: Sequence[str], grid_spec: dict, fold
     return model, rows, grid_spec
 
 
+def prefix_predictions(model, rows: DataFrame, sizes: Sequence[int], path: str) -> DataFrame:
+    """(rows' columns, n_trees, prediction): what the first n trees of a fitted forest predict, for every n of ``sizes``.
+
+    One forest serves all tree counts. The leaf of every tree is read with
+    ``transform``; the leaves' values come from the stored model, where a
+    tree's nodes are numbered in order. ``path`` gets a copy of the model.
+    """
+    spark = rows.sparkSession
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").where("leftChild = -1")
+    leaf_no = F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1  # leaves of one tree
+    leaves = nodes.select("treeID", leaf_no.alias("__leaf"), F.col("prediction").alias("__value"))
+    found = model.setLeafCol("__leaves").transform(rows).withColumn("__row", F.monotonically_increasing_id())
+    keep = [c for c in rows.columns if c != "features"]
+    each = found.select("__row", *keep, F.posexplode(vector_to_array("__leaves")).alias("treeID", "__at"))
+    each = each.withColumn("__leaf", F.col("__at").cast("int")).join(leaves, ["treeID", "__leaf"])
+    wide = each.groupBy("__row", *keep).agg(*[F.avg(F.when(F.col("treeID") < n, F.col("__value"))).alias(f"__{n}") for n in sizes])
+    return wide.select(*keep, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"__{n}").alias("p")) for n in sizes])).alias("s")) \
+        .select(*keep, F.col("s.n").alias("n_trees"), F.col("s.p").alias("prediction"))
+
+
+def forest_grid(train: DataFrame, features: Sequence[str], trees: Sequence[int], depths: Sequence[int], leaves: Sequence[int],
+                bootstrap: Sequence[bool], fold_col: str = "fold", parallelism: int = 4, seed: int = 42) -> DataFrame:
+    """i06: cross-validated RMSE of every (trees, depth, leaf size, bootstrap), as rows.
+
+    The rows are assembled once. Per (depth, leaf size, bootstrap, fold) only
+    the largest forest is fitted and scored at every tree count. Without
+    bootstrap every tree sees all rows and all features, so all trees are one
+    tree: a single one is fitted and stands for each count.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..sources.sinks import scratch_path
+    spark = train.sparkSession
+    vectors = cut_lineage(assembler(features).transform(train).select("features", "label", F.col(fold_col).alias("__fold")))
+    folds = sorted(r[0] for r in vectors.select("__fold").distinct().collect())  # a few fold numbers
+
+    def fit(point) -> list[tuple]:
+        depth, leaf, boot, fold = point
+        estimator = forest(max(trees) if boot else 1, depth, seed, minInstancesPerNode=leaf, bootstrap=boot)
+        model = estimator.fit(vectors.where(F.col("__fold") != fold))
+        held = vectors.where(F.col("__fold") == fold)
+        if boot:
+            scored = prefix_predictions(model, held, sorted(trees), scratch_path(spark, "forest"))
+        else:
+            one = model.transform(held).select("label", "prediction")
+            scored = one.withColumn("n_trees", F.explode(F.array(*[F.lit(n) for n in trees])))
+        error = F.col("prediction") - F.col("label")
+        rows = scored.groupBy("n_trees").agg(F.sqrt(F.avg(error * error)).alias("rmse")).collect()  # one row a tree count
+        return [(r["n_trees"], depth, leaf, boot, fold, r["rmse"]) for r in rows]
+
+    points = [(d, m, b, f) for d in depths for m in leaves for b in bootstrap for f in folds]
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = [r for rows in pool.map(fit, points) for r in rows]
+    errors = spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, bootstrap boolean, fold int, rmse double")
+    return errors.groupBy("num_trees", "max_depth", "min_instances", "bootstrap").agg(F.avg("rmse").alias("rmse"))
+
+
 def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
     """i07: (feature, importance) of the forest at the end of a fitted pipeline."""
     last = model.stages[-1] if hasattr(model, "stages") else model

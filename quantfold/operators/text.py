@@ -110,10 +110,36 @@ def tfidf_model(corpus: DataFrame, id_col: str, text_col: str, n: Column | None
     return idf, unit
 
 
+def save_tfidf(corpus: DataFrame, id_col: str, text_col: str, path: str) -> str:
+    """h12 fit as a stored model: ``terms`` (token, df, idf) and one row of ``settings`` under ``path``.
+
+    Another job loads it with ``load_tfidf`` and applies it to another corpus.
+    """
+    n = corpus.count()
+    counts = token_rows(corpus, [id_col], text_col).select(id_col, "token").distinct()
+    terms = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    terms = terms.select("token", "df", (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    corpus.sparkSession.createDataFrame([(n, T.TOKEN)], "documents long, token_pattern string").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path}/settings")
+    return path
+
+
+def load_tfidf(spark, path: str) -> DataFrame:
+    """(token, df, idf) of a stored model; its texts must have been cut into the same kind of tokens as ours."""
+    settings = spark.read.parquet(f"{path}/settings").first()
+    if settings is None or settings["token_pattern"] != T.TOKEN:
+        raise ValueError(f"the model at {path} was fitted with other tokens")
+    return spark.read.schema("token string, df bigint, idf double").parquet(f"{path}/terms")
+
+
 def tfidf_transform(df: DataFrame, id_cols: Sequence[str], text_col: str, idf: DataFrame) -> DataFrame:
-    """h12 apply: unit TF-IDF weights of each text over the fitted vocabulary only."""
+    """h12 apply: unit TF-IDF weights of each text over the fitted vocabulary only.
+
+    Unseen terms have no weight; a text without a known term has no row.
+    """
     counts = token_rows(df, id_cols, text_col).groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("tf"))
-    w = counts.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    w = counts.join(idf.select("token", "idf"), "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*id_cols)))
     return w.select(*id_cols, "token", (F.col("w") / norm).alias("w"))
 

@@ -21,16 +21,22 @@ from .sqlviews import with_views
 
 LABEL = "market_cap_forecast"
 FEATURES = C.PANEL_NAMES + [c for _, c in REGION_COLS] + ["crisis_dummy", "gfc_recession", "change_ath", "rolling_std"]
-FOREST_GRID = {"numTrees": [50], "maxDepth": [5, 10], "minInstancesPerNode": [2, 4], "bootstrap": [True, False]}
+#: The whole grid: 5 tree counts x 2 depths (MLlib's deepest is 30) x 3 leaf sizes x bootstrap or not = 60 points.
+GRID_TREES, GRID_DEPTHS, GRID_LEAVES, GRID_BOOTSTRAP = (900, 950, 1000, 1050, 1100), (5, 30), (2, 3, 4), (True, False)
+#: The registered job divides the tree counts by this; README has the time of one full-size fit.
+TREE_SHARE = 50
 
 
-def model_panel(t):
-    """The j03 panel with label, train flag and fold; checkpointed (it feeds many fits)."""
+def whole_panel(t):
+    """The j03 panel with label, train flag and fold, the latest date (without label) too; checkpointed (it feeds many fits)."""
     p = C.model_panel(t.statements, macro_wide(t), C.company_daily(t.orders, t.customer))
     key = M.row_key("company", "date")
-    p = p.where(F.col(LABEL).isNotNull()).withColumn("label", F.col(LABEL)) \
-         .withColumn("is_train", M.is_train(key)).withColumn("fold", M.fold_of(key))
-    return cut_lineage(p)
+    return cut_lineage(p.withColumn("label", F.col(LABEL)).withColumn("is_train", M.is_train(key)).withColumn("fold", M.fold_of(key)))
+
+
+def model_panel(t):
+    """The rows that have a label."""
+    return whole_panel(t).where(F.col("label").isNotNull())
 
 
 def split(t):
@@ -108,13 +114,9 @@ def i05_scaled(t):
 
 @register("i06_grid_search")
 def i06(t):
-    """Cross-validated forest grid (8 combinations × 4 folds), RMSE per combination."""
+    """Cross-validated forest grid: 60 combinations × 4 folds, RMSE per combination (tree counts over ``TREE_SHARE``)."""
     _, tr, _ = split(t)
-    _, rows, _ = M.grid_search(tr, features(tr), FOREST_GRID)
-    spark = t.spark
-    data = [(int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), bool(p["bootstrap"]), float(m))
-            for p, m in rows]
-    return spark.createDataFrame(data, "num_trees int, max_depth int, min_instances int, bootstrap boolean, rmse double")
+    return M.forest_grid(tr, features(tr), [n // TREE_SHARE for n in GRID_TREES], GRID_DEPTHS, GRID_LEAVES, GRID_BOOTSTRAP)
 
 
 @register("i07_feature_importances")
@@ -136,9 +138,9 @@ def g08(t):
 @register("i08_score_latest")
 def i08(t):
     """Fit on the train split, score the latest date: (company, forecast, actual)."""
-    p, tr, te = split(t)
-    model, _ = M.fit_predict(tr, te, features(tr), M.forest())
-    full = C.model_panel(t.statements, macro_wide(t), C.company_daily(t.orders, t.customer))
+    full = whole_panel(t)
+    tr = full.where(F.col("label").isNotNull() & F.col("is_train"))
+    model, _ = M.fit_predict(tr, tr, features(tr), M.forest())
     out = M.score_latest(model, full)
     return out.select("company", F.col("prediction").alias("market_cap_forecast"), "market_cap")
 

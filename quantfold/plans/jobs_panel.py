@@ -10,6 +10,7 @@ from ..functions.nulls import safe_div
 from ..operators import panel as P
 from ..operators import portfolio as pf
 from ..operators import timeseries as ts
+from ..session import reuse
 from . import compose as C
 from .jobs_timeseries import MONTHLY, REGION_COLS, region_series
 from .registry import register
@@ -297,15 +298,13 @@ def c03(t):
 
 
 @register("c04_union_files", with_views(["statements"], """
-SELECT company, period, item, round(value, 6) AS value, NULL::INTEGER AS file_no FROM statements WHERE sheet = 'Profit Loss'
-UNION ALL
-SELECT company, period, item, round(value, 6), 2 FROM statements WHERE sheet = 'Balance Sheet'"""))
+SELECT company, period, item, round(value, 6) AS value, CASE sheet WHEN 'Profit Loss' THEN NULL WHEN 'Balance Sheet' THEN 2
+       WHEN 'Cash Flow' THEN 3 ELSE 4 END::INTEGER AS file_no FROM statements"""))
 def c04(t):
-    """Union by name of two 'files' with different columns (missing -> NULL)."""
-    s = t.statements
-    pl = s.where(F.col("sheet") == "Profit Loss").select("company", "period", "item", "value")
-    bs = s.where(F.col("sheet") == "Balance Sheet").select("company", "period", "item", "value", F.lit(2).alias("file_no"))
-    return P.union_files([pl, bs])
+    """Union by name of the four sheets' 'files', the first without a column that the others have (missing -> NULL)."""
+    s = reuse(t.statements)  # one row per company, period and item; read once per file
+    files = [s.where(F.col("sheet") == sheet).select("company", "period", "item", "value") for sheet in C.SHEET_ORDER]
+    return P.union_files([files[0], *(f.withColumn("file_no", F.lit(i)) for i, f in enumerate(files[1:], start=2))])
 
 
 DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
@@ -328,7 +327,7 @@ EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"""))
 def c09(t):
     """Tickers minus an exclusion list (set difference)."""
     excl = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("ticker"))
-    return t.prices.select("ticker").distinct().subtract(excl)
+    return t.tickers.join(excl, "ticker", "left_anti")
 
 
 # ---- d: joins ---------------------------------------------------------------------------
@@ -496,7 +495,7 @@ def i03(t):
 @register("e10_distinct_keys", with_views(["prices"], "SELECT DISTINCT ticker FROM prices"))
 def e10(t):
     """Distinct tickers."""
-    return t.prices.select("ticker").distinct()
+    return t.tickers
 
 
 @register("e12_group_means", with_views(["panel_customer"], f"""

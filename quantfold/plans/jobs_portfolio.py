@@ -177,4 +177,4 @@ WHERE p.date >= DATE '2024-01-05' AND p.date < DATE '2024-01-25'
 def a07(t):
     """Closes for a ticker list within [start, end) — filter + semi join + projection."""
     tickers = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("ticker"))
-    return readers.price_window(t.prices, tickers, "2024-01-05", "2024-01-25")
+    return readers.price_window(t.prices_between("2024-01-05", "2024-01-25"), tickers, "2024-01-05", "2024-01-25")

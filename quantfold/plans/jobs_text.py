@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import text as X
 from ..operators import timeseries as ts
+from ..sources.sinks import scratch_path
 from .registry import register
 from .sqlviews import with_views
 
@@ -277,6 +278,16 @@ def h12_weights(t):
     return unit
 
 
+@register("h12_tfidf_apply", with_views(["doc_pages", "minutes"], """
+SELECT page_no, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY page_no)), 6) AS w
+FROM (SELECT page_no, token, tf * idf AS w FROM dtf JOIN idf USING (token))""",
+                                       centroid_ctes() + [PAGES] + sql_scores("pg", "page_no", "content")))
+def h12_apply(t):
+    """The model fitted on the minutes, stored, loaded by path and applied to the report pages."""
+    path = X.save_tfidf(minutes_clean(t), "doc_id", "content", scratch_path(t.spark, "tfidf"))
+    return X.tfidf_transform(pages_clean(t), ["page_no"], "content", X.load_tfidf(t.spark, path))
+
+
 @register("h13_similarity_pages", with_views(["doc_pages", "minutes"], "SELECT page_no, round(score, 6) AS score FROM scored",
                                              centroid_ctes() + [PAGES] + sql_scores("pg", "page_no", "content")))
 def h13(t):

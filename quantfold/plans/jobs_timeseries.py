@@ -39,7 +39,7 @@ SELECT ticker, date, round(close / lag(close) OVER (PARTITION BY ticker ORDER BY
 FROM prices"""))
 def f03(t):
     """Daily return per ticker, gaps padded with the last close."""
-    return ts.pct_change(t.prices, "ticker", "date", "close", "ret").select("ticker", "date", "ret")
+    return ts.pct_change(t.prices_once, "ticker", "date", "close", "ret").select("ticker", "date", "ret")
 
 
 @register("f04_cum_index", with_views(["prices"], f"""
@@ -48,7 +48,7 @@ SELECT ticker, date,
 FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date {RUNNING})"""))
 def f04(t):
     """Cumulative growth index per ticker (1 before listing)."""
-    return ts.cum_index(t.prices, "ticker", "date", "close", "growth").select("ticker", "date", "growth")
+    return ts.cum_index(t.prices_once, "ticker", "date", "close", "growth").select("ticker", "date", "growth")
 
 
 @register("f04_cum_index_product", with_views(["prices"], f"""
@@ -56,7 +56,7 @@ SELECT ticker, date, round(coalesce(product(1 + ret) OVER (PARTITION BY ticker O
 FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM prices)"""))
 def f04_product(t):
     """Cumulative growth as the literal running product of (1 + return)."""
-    r = ts.pct_change(t.prices, "ticker", "date", "close", "ret")
+    r = ts.pct_change(t.prices_once, "ticker", "date", "close", "ret")
     return ts.cum_index_product(r, "ticker", "date", "ret", "growth").select("ticker", "date", "growth")
 
 
@@ -65,7 +65,7 @@ SELECT ticker, date, round(stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY d
 FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM prices)"""))
 def f05(t):
     """Expanding sample std of daily returns per ticker (one pass, no rescans)."""
-    r = ts.pct_change(t.prices, "ticker", "date", "close", "ret")
+    r = ts.pct_change(t.prices_once, "ticker", "date", "close", "ret")
     return ts.expanding_std(r, "ticker", "date", "ret", "rolling_std").select("ticker", "date", "rolling_std")
 
 
@@ -161,7 +161,7 @@ def f14(t):
 SELECT ticker, min(date) FILTER (WHERE close IS NOT NULL) AS first_valid FROM prices GROUP BY ticker"""))
 def f15(t):
     """First date with a price per ticker."""
-    return ts.first_valid_date(t.prices, "ticker", "date", "close")
+    return ts.first_valid_date(t.prices_once, "ticker", "date", "close")
 
 
 @register("f17_distance_from_max", with_views(["panel_customer"], f"""

@@ -7,6 +7,7 @@ the session (and ``spark.checkpoint.dir``) comes from the deployment.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, creating a local one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that value
-    always wins. Only a bare local session (tests, bench) gets a scratch dir.
+    always wins. Only a session in one process (tests, bench) gets a scratch
+    dir; a cluster without the setting is an error, as no folder of the
+    driver's machine can be shared.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -46,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local_dir = tempfile.mkdtemp(prefix="quantfold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local_dir)
     return local_dir

@@ -69,6 +69,23 @@ class Tables:
         from ..session import cut_lineage
         return cut_lineage(prices_view(self.raw("events")))
 
+    @property
+    def prices_once(self) -> DataFrame:
+        """The same closes for a job that reads them a single time: nothing is written."""
+        return prices_view(self.raw("events"))
+
+    def prices_between(self, start: str, end: str) -> DataFrame:
+        """Closes of start <= date < end; the bounds are on the event time, so they reach the scan."""
+        events = self.raw("events")
+        kind = events.schema["ts"].dataType
+        inside = (F.col("ts") >= F.lit(start).cast(kind)) & (F.col("ts") < F.lit(end).cast(kind))
+        return prices_view(events.where(inside))
+
+    @property
+    def tickers(self) -> DataFrame:
+        """Distinct tickers, without a price table."""
+        return self.raw("events").select(F.col("user_id").alias("ticker")).distinct()
+
     @property
     def index_prices(self) -> DataFrame:
         return index_view(self.prices)

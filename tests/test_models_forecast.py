@@ -97,3 +97,56 @@ def test_folds_are_all_used_and_nothing_else(spark, folds):
     df = spark.range(3000).withColumn("d", F.lit("x"))
     got = {r[0]: r[1] for r in df.groupBy(M.fold_of(M.row_key("id", "d"), folds=folds).alias("f")).count().collect()}
     assert set(got) == set(range(folds)) and min(got.values()) > 3000 / folds / 2
+
+
+def test_prefix_of_a_forest_is_the_mean_of_its_first_trees(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    y = x[:, 0] * 2 + np.sin(3 * x[:, 1]) + rng.normal(size=60) / 10
+    df = spark.createDataFrame([(int(i), int(i % 4), float(y[i]), *map(float, x[i])) for i in range(60)],
+                               "id int, fold int, label double, a double, b double, c double")
+    v = M.assembler(["a", "b", "c"]).transform(df)
+    model = M.forest(6, 4).fit(v)
+    got = {(r["id"], r["n_trees"]): r["prediction"]
+           for r in M.prefix_predictions(model, v.select("id", "features"), [1, 4, 6], str(tmp_path / "m")).collect()}
+    whole = {r["id"]: r["prediction"] for r in model.transform(v).collect()}
+    for r in v.collect():
+        each = [tree.predict(r["features"]) for tree in model.trees]
+        for n in (1, 4, 6):
+            assert got[r["id"], n] == pytest.approx(np.mean(each[:n]), rel=1e-12)
+        assert got[r["id"], 6] == pytest.approx(whole[r["id"]], rel=1e-12)
+
+
+def test_forest_grid_has_every_point_and_its_fold_errors(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(i % 2), float(v), float(v ** 2)) for i, v in enumerate(rng.normal(size=40))], "fold int, a double, label double")
+    got = {(r["num_trees"], r["max_depth"], r["min_instances"], r["bootstrap"]): r["rmse"]
+           for r in M.forest_grid(df, ["a"], [2, 5], [2, 4], [1], [True, False]).collect()}
+    assert len(got) == 8
+    # without bootstrap a forest of five equal trees predicts as one tree does
+    v = M.assembler(["a"]).transform(df)
+    errors = []
+    for fold in (0, 1):
+        model = M.forest(5, 4, minInstancesPerNode=1, bootstrap=False).fit(v.where(v.fold != fold))
+        errors.append(np.sqrt(np.mean([(r["prediction"] - r["label"]) ** 2 for r in model.transform(v.where(v.fold == fold)).collect()])))
+    assert got[5, 4, 1, False] == pytest.approx(np.mean(errors), rel=1e-9) == pytest.approx(got[2, 4, 1, False])
+
+
+def test_multi_forecast_matches_numpy(spark):
+    d, x1, x2, y = _design(spark, n=16)
+    known = d.withColumn("y", F.when(F.col("r") <= 14, F.col("y")))
+    best = spark.createDataFrame([("s", 10, 0.9, 1.0, 1.0)], "target string, prior_length int, rho double, rmse double, mae double")
+    got = {r["date"]: r["forecast"] for r in FC.forecast_multi(known, best, ["x1", "x2"]).collect()}
+    idx = list(range(4, 14))  # the ten known rows before the first unknown one, 0-based
+    X = np.column_stack([np.ones(10), x1[idx], x2[idx]])
+    b = _wls(X, y[idx], np.array([0.9 ** (13 - i) for i in idx]))
+    want = {dt.date(2000, 1, 1) + dt.timedelta(days=90 * i): b[0] + b[1] * x1[i] + b[2] * x2[i] for i in (14, 15)}
+    assert got == {k: pytest.approx(v, rel=1e-8) for k, v in want.items()}
+
+
+def test_all_window_lengths_come_from_one_pass(spark):
+    d, *_ = _design(spark)
+    grid = FC.parameter_grid(spark.createDataFrame([("s",)], "target string"), 3)
+    plan = FC.backtest_simple(d, grid, "x1")._jdf.queryExecution().optimizedPlan().toString()
+    ages = [line for line in plan.split("\n") if "Generate explode(sequence(0, (element_at(" in line]
+    assert len(ages) == 1 and "prior_length" not in ages[0]

@@ -117,3 +117,18 @@ def test_absolute_url(spark):
     df = spark.createDataFrame([(h, base) for h in cases], "h string, b string")
     got = dict(rows(df.select("h", L.absolute_url("h", "b").alias("u"))))
     assert got == cases
+
+
+def test_stored_tfidf_applied_to_another_corpus(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "")], "id int, text string")
+    path = X.save_tfidf(corpus, "id", "text", str(tmp_path / "model"))
+    terms = {r["token"]: (r["df"], r["idf"]) for r in X.load_tfidf(spark, path).collect()}
+    assert terms["alpha"] == (2, pytest.approx(math.log(4 / 3) + 1)) and terms["beta"] == (1, pytest.approx(math.log(4 / 2) + 1))
+    other = spark.createDataFrame([(7, "Beta alpha unseen beta"), (8, "unseen words"), (9, None), (10, "gamma")], "id int, text string")
+    got = {(r["id"], r["token"]): r["w"] for r in X.tfidf_transform(other, ["id"], "text", X.load_tfidf(spark, path)).collect()}
+    raw = {"beta": 2 * terms["beta"][1], "alpha": terms["alpha"][1]}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert got == {(7, k): pytest.approx(v / norm) for k, v in raw.items()} | {(10, "gamma"): pytest.approx(1.0)}
+    spark.createDataFrame([(3, "other")], "documents long, token_pattern string").write.mode("overwrite").parquet(f"{path}/settings")
+    with pytest.raises(ValueError, match="other tokens"):
+        X.load_tfidf(spark, path)
