@@ -219,7 +219,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     release(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quantfold-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
