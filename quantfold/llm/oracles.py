@@ -7,7 +7,7 @@ by the words themselves.
 
 from __future__ import annotations
 
-from .quality import MEASURES
+from .quality import FINE, MEASURES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,10 +39,17 @@ GROUP BY k.conv_id, k.n_turns, k.n_equal
 
 
 def _measures() -> str:
-    return " UNION ALL ".join(
-        f"SELECT lang, source, '{name}' AS measure, least(CASE WHEN {bottom} > 0 THEN {cells} * {top} // {bottom} ELSE 0 END, "
-        f"{cells if cells == 1024 else 64 * cells}) AS cell FROM counts WHERE n_words > 0"
-        for name, (top, bottom, cells, *_) in MEASURES.items())
+    exact = " UNION ALL ".join(
+        f"SELECT lang, source, '{name}' AS measure, CASE WHEN {bottom} > 0 THEN {cells} * {top} // {bottom} ELSE 0 END::BIGINT AS c "
+        "FROM counts WHERE n_words > 0" for name, (top, bottom, cells, *_) in MEASURES.items())
+    doublings = f"(length(bin(c)) - {FINE.bit_length()})::INTEGER"
+    return (f"SELECT lang, source, measure, CASE WHEN c < {FINE} THEN c ELSE {FINE} + 64 * {doublings} + "
+            f"((c >> greatest({doublings}, 0)) - {FINE}) // 64 END AS cell FROM ({exact})")
+
+
+def _edge(cell: str) -> str:
+    return (f"CASE WHEN {cell} < {FINE} THEN {cell}::BIGINT ELSE ({FINE} + 64 * (({cell} - {FINE}) % 64))::BIGINT "
+            f"<< greatest(({cell} - {FINE}) // 64, 0)::INTEGER END")
 
 
 def _quartiles(keys: str) -> str:
@@ -56,9 +63,10 @@ def _limits() -> str:
     out = []
     for name, (_, _, cells, margin, _, low) in MEASURES.items():
         here = f"FILTER (measure = '{name}')"
-        out.append(f"max((hi + 4e0 * (hi - lo)) / {cells} + {margin}::DOUBLE) {here} AS {name}_hi")
+        hi, lo = f"({_edge('hi')})", f"({_edge('lo')})"
+        out.append(f"max(({hi} + 4e0 * ({hi} - {lo})) / {cells} + {margin}::DOUBLE) {here} AS {name}_hi")
         if low:
-            out.append(f"max((lo - 4e0 * (hi - lo)) / {cells} - {margin}::DOUBLE) {here} AS {name}_lo")
+            out.append(f"max(({lo} - 4e0 * ({hi} - {lo})) / {cells} - {margin}::DOUBLE) {here} AS {name}_lo")
     return ", ".join(out)
 
 

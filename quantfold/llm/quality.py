@@ -15,7 +15,8 @@ kept when the base rules pass and every measure is inside its range.
 
 Measures (cells): share of symbols, of repeated lines, of repeated words and
 of capital letters (1024ths; only too high fails), and mean word length
-(64ths; too low or too high fails; 64 letters and more are the last cell).
+(64ths up to 64 letters, then 64 cells for each doubling without an end; too
+low or too high fails). Limits are set in the measures' own units.
 
 Edge cases: a null or wordless text has zero counts and fails the base rule.
 Null language or source is a group of its own. An empty table gives no rows.
@@ -35,10 +36,12 @@ from ._common import SPACE, materialise
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 1024, 0.02, 0.1, False),
     "dup_lines": ("n_dup_lines", "n_lines", 1024, 0.35, 0.0, False),
-    "repeats": ("n_repeat_words", "n_words", 1024, 0.2, 0.0, False),
+    "repeats": ("n_repeat_words", "n_words", 1024, 0.12, 0.0, False),
     "capitals": ("n_upper", "word_chars", 1024, 0.2, 1.0, False),
     "word_length": ("word_chars", "n_words", 64, 1.0, 6.0, True),
 }
+#: Cells below this are exact; from here on each doubling has 64.
+FINE = 4096
 _TRIMMED = " \t\n\x0b\x0c\r"
 _N = 5
 
@@ -88,8 +91,16 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
 
 def _cell(name: str) -> Column:
     top, bottom, cells, *_ = MEASURES[name]
-    last = cells if cells == 1024 else 64 * cells
-    return F.least(F.expr(f"CASE WHEN {bottom} > 0 THEN {cells} * {top} DIV {bottom} ELSE 0 END"), F.lit(last).cast("long"))
+    exact = f"CASE WHEN {bottom} > 0 THEN {cells} * {top} DIV {bottom} ELSE 0L END"
+    doublings = f"(length(bin({exact})) - {FINE.bit_length()})"
+    return F.expr(f"CASE WHEN {exact} < {FINE} THEN {exact} ELSE "
+                  f"{FINE}L + 64 * {doublings} + (shiftright({exact}, {doublings}) - {FINE}) DIV 64 END")
+
+
+def _edge(cell: str) -> Column:
+    """The smallest number of 1024ths or 64ths that falls into a cell."""
+    return F.expr(f"CASE WHEN {cell} < {FINE} THEN {cell} ELSE shiftleft({FINE}L + 64 * (({cell} - {FINE}) % 64), "
+                  f"CAST(({cell} - {FINE}) DIV 64 AS INT)) END")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -124,10 +135,10 @@ def thresholds(measured: DataFrame, *, k: float = 4.0, min_rows: int = 200) -> D
                                f"THEN {q}_lang ELSE {q}_all END").alias(q) for q in ("lo", "hi")]))
     aggs = []
     for m, (_, _, cells, margin, _, low) in MEASURES.items():
-        here = F.col("measure") == m
-        aggs.append(F.max(F.when(here, (F.col("hi") + k * (F.col("hi") - F.col("lo"))) / cells + margin)).alias(f"{m}_hi"))
+        here, hi, lo = F.col("measure") == m, _edge("hi"), _edge("lo")
+        aggs.append(F.max(F.when(here, (hi + k * (hi - lo)) / cells + margin)).alias(f"{m}_hi"))
         if low:
-            aggs.append(F.max(F.when(here, (F.col("lo") - k * (F.col("hi") - F.col("lo"))) / cells - margin)).alias(f"{m}_lo"))
+            aggs.append(F.max(F.when(here, (lo - k * (hi - lo)) / cells - margin)).alias(f"{m}_lo"))
     return joined.groupBy("lang", "source").agg(*aggs)
 
 

@@ -277,6 +277,32 @@ def test_quality_verdict_follows_labels_and_null_groups(spark):
     assert quality.judge(odd).first()["kept"]
 
 
+def test_quality_has_no_largest_word_length(spark):
+    rng = random.Random(9)
+    word = lambda lo, hi: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(lo, hi)))
+    rows = [" ".join(word(85, 115) for _ in range(30)) for _ in range(400)] + [" ".join(word(3, 7) for _ in range(30)) for _ in range(3)]
+    rows += [" ".join(word(4000, 6000) for _ in range(30)) for _ in range(3)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows)).collect()}
+    assert all(kept[i] for i in range(400)) and not any(kept[i] for i in range(400, 406))
+
+
+def test_quality_cells_rise_and_return_to_their_edge(spark):
+    values = [0, 1, 4095, 4096, 4097, 8191, 8192, 8193, 100_000, 10**9]
+    df = spark.createDataFrame([(v, 64) for v in values], "word_chars long, n_words long").select(
+        "word_chars", quality._cell("word_length").alias("q")).select("*", quality._edge("q").alias("edge"))
+    got = {r["word_chars"]: (r["q"], r["edge"]) for r in df.collect()}
+    cells = [got[v][0] for v in values]
+    assert cells == sorted(cells) and cells[0] == 0 and max(cells) < 6000
+    assert all(e <= v <= e * 66 // 64 for v, (_, e) in got.items())
+
+
+def test_quality_repeats_can_decide(spark):
+    plain = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(300)]
+    loop = [" ".join(f"v{j}" for j in range(170)) + " a b c d e f g h i j k l m n o a b c d e f g h i j k l m n o"]
+    got = {r["doc_id"]: r for r in quality.judge(frame(spark, plain + loop)).collect()}
+    assert not got[300]["base_failed"] and got[300]["failed"] == ["repeats"] and got[0]["kept"]
+
+
 # 7 ------------------------------------------------------------------------
 
 def test_license_scan_finds_every_notice(spark):
