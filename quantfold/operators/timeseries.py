@@ -14,9 +14,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions._util import as_col
 from ..functions.nulls import safe_div
+from ..session import cut_lineage
+from .quantiles import exact_quantiles
 
 
 def _keys(keys) -> list[str]:
@@ -198,50 +201,81 @@ def reindex(df: DataFrame, keys, date_col: str, step_months: int, extend: int =
 
 
 # ---- d06 --------------------------------------------------------------------------
+#: Distinct times of a key and calendar bucket that one task may sort; more are cut at their own quantiles.
+ASOF_TIMES = 1_000_000
+
+
+def _microseconds(col: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)").cast("double")
+    return F.unix_micros(col).cast("double")
+
+
+def _cut_hot_buckets(u: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """``u`` with ``__sub``: 0, or the number of a piece of about ``most`` times of a (key, bucket) that holds more."""
+    kind = u.schema["__d"].dataType
+    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return u.withColumn("__sub", F.lit(0))  # a bucket has as many dates as days
+    sizes = u.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    sizes = cut_lineage(sizes)
+    widest = sizes.agg(F.max("__n")).first()[0]
+    if widest is None:
+        return u.withColumn("__sub", F.lit(0))
+    pieces = -(-widest // most)
+    on = [F.col(f"u.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*keys, "__b"]]
+    hot = u.withColumn("__x", _microseconds("__d", kind)).alias("u").join(sizes.alias("h"), on).select("u.*")
+    names = [f"__c{i}" for i in range(1, pieces)]
+    cuts = exact_quantiles(hot, "__x", [i / pieces for i in range(1, pieces)], names, [*keys, "__b"])
+    cuts = cut_lineage(cuts.select(*keys, "__b", F.array(*names).alias("__cuts")))
+    joined = u.alias("u").join(cuts.alias("h"), on, "left").select("u.*", "h.__cuts", _microseconds("__d", kind).alias("__x"))
+    return joined.withColumn("__sub", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__x"))), F.lit(0))).drop("__cuts", "__x")
+
+
 def asof_backward(left: DataFrame, right: DataFrame, keys, left_date: str, right_date: str,
-                  value_cols: Sequence[str], bucket: str = "month") -> DataFrame:
+                  value_cols: Sequence[str], bucket: str = "month", most: int = ASOF_TIMES) -> DataFrame:
     """d06: attach to each left row the latest right row with right_date <= left_date.
 
-    Skew-safe two-level plan (a key may hold a third of all rows):
+    Of several right rows of one key and date the largest (by its values, in
+    their order) counts. A key, or one date of it, may hold a third of all rows:
 
-    1. both sides are unioned and tagged; ``last(struct, ignorenulls)`` over
-       (key, bucket ORDER BY date, side) finds a match inside the same
-       calendar bucket — a hot key is spread over its buckets;
-    2. the last right row of every (key, bucket) is a hash aggregate, and a
-       window over one row per (key, bucket) — calendar-sized — carries the
-       latest earlier-bucket match forward;
-    3. a many-to-one join on (key, bucket) fills rows without an in-bucket match.
+    1. left rows are reduced to their distinct (key, date), right rows to one
+       row per (key, date), both with partial aggregates;
+    2. ``last(struct, ignorenulls)`` over (key, bucket ORDER BY date, side) finds
+       matches inside a calendar bucket; a bucket with more than ``most``
+       distinct times is cut at its own time quantiles;
+    3. the latest right row of every (key, bucket) is carried to later buckets
+       by a window over one row per (key, bucket);
+    4. the matches, one per (key, date), join the left rows many-to-one.
 
     Right rows sort before left rows on equal dates, so equal dates match.
-    Carrying a struct keeps NULL right values exact. The left input is read
-    twice (rows and their buckets): pass a materialised frame when it is the
-    output of an expensive pipeline.
+    Carrying a struct keeps NULL right values exact. Left rows without a date
+    match nothing. The left input is read twice (rows and their dates): pass
+    a materialised frame when it is the output of an expensive pipeline.
     """
     keys = _keys(keys)
-    lcols = left.columns
     rstruct = F.struct(*[F.col(v) for v in value_cols])
     rtype = right.select(rstruct.alias("x")).schema["x"].dataType
-    ltype = left.select(F.struct(*[F.col(c) for c in lcols]).alias("x")).schema["x"].dataType
     kk = [f"__k_{k}" for k in keys]
-    l_side = left.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(left_date).alias("__d"),
-                         F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in lcols]).alias("__l"),
-                         F.lit(None).cast(rtype).alias("__r"))
-    r_side = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(right_date).alias("__d"),
-                          F.lit(0).alias("__side"), F.lit(None).cast(ltype).alias("__l"), rstruct.alias("__r"))
-    u = l_side.unionByName(r_side).withColumn("__b", F.trunc("__d", bucket))
-    w_in = (Window.partitionBy(*kk, "__b").orderBy("__d", "__side")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    named = [F.col(k).alias(kn) for k, kn in zip(keys, kk)]
+    dated = left.select(*named, F.col(left_date).alias("__d")).where("__d IS NOT NULL").distinct()
+    latest = (right.select(*named, F.col(right_date).alias("__d"), rstruct.alias("__r")).where("__d IS NOT NULL")
+              .groupBy(*kk, "__d").agg(F.max("__r").alias("__r")))
+    kind = dated.schema["__d"].dataType
+    u = (dated.select("*", F.lit(1).alias("__side"), F.lit(None).cast(rtype).alias("__r"))
+         .unionByName(latest.withColumn("__d", F.col("__d").cast(kind)).withColumn("__side", F.lit(0))))
+    u = _cut_hot_buckets(u.withColumn("__b", F.date_trunc(bucket, "__d").cast(kind)), kk, most)
+    inside = [*kk, "__b", "__sub"]
+    w_in = Window.partitionBy(*inside).orderBy("__d", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.withColumn("__m", F.last("__r", ignorenulls=True).over(w_in))
-    lefts = u.where(F.col("__side") == 1)
-    # latest right row per (key, bucket), then carried across buckets
-    rb = (r_side.withColumn("__b", F.trunc("__d", bucket)).groupBy(*kk, "__b")
-          .agg(F.max_by("__r", F.struct("__d")).alias("__rl")).withColumn("__s", F.lit(1)))
-    lb = lefts.select(*kk, "__b").distinct().withColumn("__rl", F.lit(None).cast(rtype)).withColumn("__s", F.lit(0))
-    w_b = Window.partitionBy(*kk).orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = (lb.unionByName(rb).withColumn("__c", F.last("__rl", ignorenulls=True).over(w_b))
-               .where(F.col("__s") == 0).select(*kk, "__b", "__c"))
-    out = lefts.join(carry, [*kk, "__b"], "left").withColumn("__m", F.coalesce("__m", "__c"))
-    return out.select("__l.*", *[F.col(f"__m.{v}").alias(v) for v in value_cols])
+    # one row per (key, bucket): the last right row that it has, carried over the buckets
+    ends = u.groupBy(*inside).agg(F.max_by("__m", F.struct("__d", "__side")).alias("__end"))
+    w_b = Window.partitionBy(*kk).orderBy("__b", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*inside, F.last("__end", ignorenulls=True).over(w_b).alias("__c"))
+    safe = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+    found = (u.where("__side = 1").alias("u").join(carry.alias("c"), safe("u", "c", inside), "left")
+             .select(*[F.col(f"u.{k}") for k in kk], "u.__d", F.coalesce("u.__m", "c.__c").alias("__m")))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"f.{kn}")) for k, kn in zip(keys, kk)] + [F.col(f"l.{left_date}") == F.col("f.__d")]
+    return left.alias("l").join(found.alias("f"), on, "left").select("l.*", *[F.col(f"f.__m.{v}").alias(v) for v in value_cols])
 
 
 # ---- d09 ----------------------------------------------------------------------------
