@@ -47,7 +47,8 @@ def wide_statements(statements: DataFrame) -> DataFrame:
     Items dropped as mostly zero (b23) disappear as columns, as a dropped
     column does; the dropped list is read once (at most the fixed item count).
     """
-    st = renamed_statements(statements)
+    # companies x items x periods: small, read for the dropped items and the pivot, so the raw lines are aggregated once
+    st = reuse(renamed_statements(statements))
     dropped = {r[0] for r in P.zero_share_items(st, "item", "value", 0.5).select("item").collect()}
     keep = [(i, n) for i, n in zip(PANEL_ITEMS, PANEL_NAMES) if i not in dropped]
     st = st.where(~F.col("item").isin(list(dropped))) if dropped else st
