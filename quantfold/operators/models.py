@@ -127,7 +127,7 @@ def prefix_predictions(model, rows: DataFrame, sizes: Sequence[int], path: str)
 
 
 def forest_grid(train: DataFrame, features: Sequence[str], trees: Sequence[int], depths: Sequence[int], leaves: Sequence[int],
-                bootstrap: Sequence[bool], fold_col: str = "fold", parallelism: int = 4, seed: int = 42) -> DataFrame:
+                bootstrap: Sequence[bool], fold_col: str = "fold", parallelism: int = 8, seed: int = 42) -> DataFrame:
     """i06: cross-validated RMSE of every (trees, depth, leaf size, bootstrap), as rows.
 
     The rows are assembled once. Per (depth, leaf size, bootstrap, fold) only
