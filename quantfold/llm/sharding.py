@@ -1,16 +1,17 @@
 """Sharding as vector bin packing: bytes, tokens and rows balanced jointly.
 
-Equal texts form a group and go to one shard, unless the group is so large
-that the shards could not be near equal: a group above ``1 / (shards *
-pieces)`` of any measure is split by hash of the id into pieces of about that
-size. Small groups are bundled by hash of their text. What is packed is the
-table of pieces and bundles, whose size depends on ``shards``, ``pieces`` and
-``bundles`` alone (at most ``3 * shards * pieces`` groups can be that large,
-with at most twice as many pieces), so the driver's list is bounded.
+Equal texts form a group and go to one shard. Only a group above a whole
+shard's share ``1 / shards`` of some measure is split, by hash of the id, into
+pieces of about a ``pieces``-th of a share. A group above ``1 / (shards *
+bundles)`` of some measure is placed by itself; the many smaller ones are
+bundled by hash of their text. What is packed is the table of pieces, groups
+and bundles, whose size depends on ``shards``, ``pieces`` and ``bundles`` alone
+(at most ``3 * shards * bundles`` groups are that large), so the driver's list
+is bounded.
 
 Items are placed from large to small; each goes to the shard where the dot
 product of its measures with the shard's residual capacity is highest. The
-law of the result is ``bytes``: near equal sizes.
+law of the result is ``bytes``: near equal sizes, so bytes weigh more in it.
 
 Slots are numbered without one task per shard: rows are numbered inside
 (shard, part), parts hold about ``slots_a_part`` rows, and the parts' counts
@@ -32,12 +33,16 @@ from pyspark.sql.window import Window
 from ._common import SPACE, materialise
 
 
+#: Weights of bytes, tokens and rows in the dot product: the law of the result is bytes.
+WEIGHTS = np.array([50.0, 1.0, 1.0])
+
+
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
     """Shard of every item; ``items`` holds each one's share of every measure."""
     residual = np.full((shards, items.shape[1]), 1.0 / shards)
     out = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -items.sum(1), -items.max(1))):
-        out[i] = int(np.argmax(residual @ items[i]))
+        out[i] = int(np.argmax(residual @ (WEIGHTS * items[i])))
         residual[out[i]] -= items[i]
     return out
 
@@ -56,9 +61,9 @@ def assign(docs: DataFrame, *, shards: int = 16, bundles: int = 256, pieces: int
         return rows.select("doc_id", "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     share = F.greatest(F.col("size") / total["size"], F.col("tokens") / max(1, total["tokens"]), F.col("rows") / total["rows"])
     large = (rows.groupBy("g1", "g2").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-             .filter((share > 1.0 / (shards * pieces)) & (F.col("rows") > 1))
-             .select("g1", "g2", F.ceil(share * shards * pieces).alias("parts")))
-    # at most 3 * shards * pieces groups exceed the share: safe to broadcast
+             .filter((share > 1.0 / (shards * bundles)) & (F.col("rows") > 1))
+             .select("g1", "g2", F.when(share > 1.0 / shards, F.ceil(share * shards * pieces)).otherwise(F.lit(1)).alias("parts")))
+    # at most 3 * shards * bundles groups exceed the share: safe to broadcast
     itemised = materialise(rows.join(F.broadcast(large), ["g1", "g2"], "left").withColumn(
         "item", F.when(F.col("parts").isNull(), F.pmod(F.col("g1"), F.lit(shards * bundles))).otherwise(
             -1 - F.pmod(F.xxhash64("g1", "g2", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("parts"))), F.lit(1 << 62))))

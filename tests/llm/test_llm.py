@@ -341,6 +341,31 @@ def test_sharding_is_balanced_and_gapless(spark, texts):
     assert sharding.assign(none(spark)).count() == 0
 
 
+def test_sharding_keeps_groups_whole(spark):
+    rng = random.Random(21)
+    say = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(rng.randint(5, 25)))
+    groups = [say() for _ in range(40)]
+    rows = [g for g in groups for _ in range(100)] + [say() for _ in range(4000)]
+    got = sharding.assign(frame(spark, rows), shards=16).collect()
+    where = collections.defaultdict(set)
+    for r in got:
+        where[rows[r["doc_id"]]].add(r["shard"])
+    assert all(len(where[g]) == 1 for g in groups)
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 16 and max(sizes.values()) <= 1.03 * min(sizes.values())
+    # a group above a shard's share is split, and only that one
+    rows = [groups[0]] * 3000 + [g for g in groups[1:5] for _ in range(300)] + [say() for _ in range(4000)]
+    got = sharding.assign(frame(spark, rows), shards=16).collect()
+    where, sizes = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        where[rows[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert len(where[groups[0]]) > 4 and all(len(where[g]) == 1 for g in groups[1:5])
+    assert max(sizes.values()) <= 1.05 * min(sizes.values())
+
+
 # 9 ------------------------------------------------------------------------
 
 def test_lm_base_counts_and_held_out_gain(spark):
