@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,19 +36,32 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete what no table in use needs any more.
+_released = 0.0
+
+
+def release(spark: SparkSession, after: float = 0.0) -> None:
+    """Let Spark delete what no table in use needs any more, unless that was done less than ``after`` seconds ago.
 
     Shuffle files and checkpoints are deleted once the driver has collected
     the objects that stand for them. A driver with a quiet heap does so
-    seldom, and long jobs keep every stage's files until then.
+    seldom, and long jobs keep every stage's files until then. The scheduler
+    remembers the last job, so a job of one row comes between two collections,
+    and Spark's cleaner gets a moment.
     """
+    global _released
+    if time.monotonic() - _released < after:
+        return
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    spark.range(0, 1, 1, 1).collect()
     spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; earlier tables out of use are released first."""
-    release(df.sparkSession)
+    release(df.sparkSession, after=5.0)
     return cut_lineage(df)
 
 
@@ -217,7 +232,7 @@ def stored(df: DataFrame) -> DataFrame:
     from ..session import ensure_checkpoint_dir
 
     spark = df.sparkSession
-    release(spark)
+    release(spark, after=5.0)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quantfold-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

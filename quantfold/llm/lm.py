@@ -450,12 +450,12 @@ def score(docs: DataFrame, *, shards: int | None = None, seed: int = 1) -> DataF
     batches = _batches(docs, words, shards)
     dealt = _deal(batches)
     answers = _answers(dealt, _types(dealt, hot, shards), hot, shards, seed)
+    del dealt  # its shuffle can go before the next one is written
     key_answers = _key_answers(batches, answers, hot)
     learned = batches.agg(F.sum("n_learned")).first()[0] or 0
     whole = answers.filter("batch = -1").agg(F.sum("types").alias("types"), F.sum("tables").alias("tables")).first()
     types, tables = whole["types"] or 0, whole["tables"] or 0.0
     types += key_answers.filter("batch = -1").agg(F.sum("types")).first()[0] or 0
-    del dealt
     release(spark)
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
