@@ -15,6 +15,7 @@ with a third of all rows is not a hot key. NULL and NaN are ignored.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,7 @@ from ..session import cut_lineage
 
 #: Intervals of a pass that may be broadcast (a few numbers each); more of them take a shuffled join.
 BROADCAST_INTERVALS = 10_000
+LARGEST = sys.float_info.max
 _SPAN = ["__lo", "__hi"]
 
 
@@ -59,8 +61,10 @@ def _narrowed(rows: DataFrame, ranks: DataFrame, keys: list[str], most: int, buc
     """``ranks`` with the value of their row as both ends of their interval."""
     ranks = cut_lineage(ranks)
     while (ranks.where("__lo < __hi").agg(F.max("__n")).first()[0] or 0) > most:
-        # halves keep the width of an interval finite
-        place = (F.col("__x") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * buckets
+        x, lo, hi = F.col("__x"), F.col("__lo"), F.col("__hi")
+        # halves where the width is beyond the largest double; infinite ends are steps of their own
+        part = F.when(hi - lo <= LARGEST, (x - lo) / (hi - lo)).otherwise((x / 2 - lo / 2) / (hi / 2 - lo / 2))
+        place = F.when(x == lo, F.lit(0.0)).when(x == hi, F.lit(buckets - 1.0)).otherwise(F.nanvl(part * buckets, F.lit(1.0)))
         steps = (_inside(rows, ranks, keys).withColumn("__step", F.least(F.floor(place), F.lit(buckets - 1).cast("long")))
                  .groupBy(*keys, *_SPAN, "__step")
                  .agg(F.count("*").alias("__m"), F.min("__x").alias("__from"), F.max("__x").alias("__to")))
@@ -88,7 +92,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequenc
     found = _narrowed(rows, ranks, keys, most, buckets)
     at = lambda i, up: F.max(F.when((F.col("__q") == i) & (F.col("__up") == up), F.col("__lo")))
     share = lambda i: F.max(F.when(F.col("__q") == i, F.col("__share")))
-    cols = [(at(i, 0) + (at(i, 1) - at(i, 0)) * share(i)).alias(n) for i, n in enumerate(names)]
+    # equal ends (infinite ones too) need no interpolation
+    cols = [F.when(at(i, 0) == at(i, 1), at(i, 0)).otherwise(at(i, 0) + (at(i, 1) - at(i, 0)) * share(i)).alias(n)
+            for i, n in enumerate(names)]
     out = found.groupBy(*keys).agg(F.count("*").alias("__rows"), *cols)
     return out.where("__rows > 0").drop("__rows")
 

@@ -21,12 +21,14 @@ def frame(spark, values):
     list(np.random.default_rng(1).permutation(3000) * 1.0),  # all distinct
     [1.0] * 2000 + [float(i) for i in range(500)],       # a hot value among distinct ones
     [1e300, -1e300, 5e-324, 0.0, -0.0] * 300 + [3.0],    # every magnitude
+    [math.inf] * 40 + [-math.inf] * 701 + [0.1 * i for i in range(900)] + [1.7e308, -1.7e308] * 30,  # infinite ends
     list(np.random.default_rng(2).standard_cauchy(3001)),
     [4.0], [1.0, 2.0],
 ])
 def test_quantiles_equal_numpy(spark, values):
     got = exact_quantiles(frame(spark, values), "x", QS, NAMES, most=40, buckets=8).first()
-    want = np.quantile(np.array(values), QS)
+    want = np.quantile(np.array(values), QS, method="linear") if np.isfinite(values).all() else [
+        sorted(values)[int(q * (len(values) - 1))] for q in QS]  # 1,701 values: whole ranks
     assert [got[n] for n in NAMES] == pytest.approx(list(want), rel=1e-12, abs=1e-300)
 
 
