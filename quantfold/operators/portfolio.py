@@ -34,6 +34,12 @@ def position_size(change, threshold: float = 0.05, size: float = 1000.0) -> Colu
              .otherwise(F.lit(0.0)))
 
 
+def raw_value(size, close, first) -> Column:
+    """size x close / first close; a first close of 0 gives the floating quotient (NaN for a size of 0), not an error."""
+    held, first = as_col(size) * as_col(close), as_col(first)
+    return F.when(first == 0, held * F.lit(float("inf"))).otherwise(safe_div(held, first))
+
+
 def sell_clamp(value, target) -> Column:
     """b18: non-negative value capped at the target; negative value floored at it."""
     v, t = as_col(value), as_col(target)

@@ -104,8 +104,7 @@ def b18(t):
     """Clamp every raw position value (size x close / first close) at its sell target."""
     pos = pf.positions(t.forecasts)
     j = t.prices.join(pos, "ticker")
-    v = F.col("investment") * F.col("close") / F.col("market_cap")
-    return j.select("ticker", "date", pf.sell_clamp(v, F.col("sell_price")).alias("value"))
+    return j.select("ticker", "date", pf.sell_clamp(pf.raw_value("investment", "close", "market_cap"), F.col("sell_price")).alias("value"))
 
 
 @register("b19_ratio_columns", with_views(["prices", "forecasts"], """

@@ -153,3 +153,16 @@ def test_nan_forecast_opens_no_position(spark):
                               "ticker string, market_cap_forecast double, market_cap double")
     got = {r["ticker"]: (r["investment"], r["sell_price"]) for r in pf.positions(f).collect()}
     assert got["a"] == (0.0, None) and got["b"] == (0.0, None) and got["c"] == (1000.0, 2000.0)
+
+
+def test_sell_clamp_of_a_first_close_of_zero(spark, tmp_path):
+    """b18: a ticker whose first close is 0 has no position and the SQL's floating quotient, 0 / 0; the others are as ever."""
+    import math
+
+    from __spark_entry__ import queries
+    day = lambda d: dt.datetime(2024, 1, d)
+    spark.createDataFrame([(1, day(1), 7, 0.0), (2, day(2), 7, 5.0), (3, day(1), 8, 10.0), (4, day(2), 8, 30.0)],
+                          "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(t, d.day): v for t, d, v in rows(queries()["b18_sell_clamp"](spark, str(tmp_path)))}
+    assert math.isnan(got[7, 1]) and math.isnan(got[7, 2])
+    assert got[8, 1] == 1000.0 and got[8, 2] == 2000.0
