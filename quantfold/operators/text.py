@@ -42,13 +42,21 @@ def explode_sentences(df: DataFrame, text_col: str, out: str = "sentence", pos:
     return df.select("*", F.posexplode(arr).alias(pos, out))
 
 
+def _exploded(df: DataFrame, arr: Column, pos: str, out: str) -> DataFrame:
+    """``posexplode`` by its outer form: for the inner one the optimizer adds a filter on the array, so every text is cleaned and cut twice."""
+    return df.select("*", F.posexplode_outer(arr).alias(pos, out)).where(F.col(pos).isNotNull())
+
+
 def sentences_with_paragraphs(df: DataFrame, text_col: str, size: int = 3) -> DataFrame:
-    """h10: sentence rows with the paragraph (block of ``size`` sentences) they belong to."""
-    base = df.select("*", T.split_sentences(text_col).alias("__arr"))
-    base = base.select("*", T.paragraphs("__arr", size).alias("__paras"))
-    s = base.select("*", F.posexplode("__arr").alias("sent_no", "sentence"))
-    para = F.element_at("__paras", (F.floor(F.col("sent_no") / size) + 1).cast("int"))
-    return s.withColumn("paragraph", para).drop("__arr", "__paras")
+    """h10: sentence rows with the paragraph (block of ``size`` sentences) they belong to.
+
+    A sentence takes its own block out of the array: work in proportion to
+    ``size``, however many sentences a text has.
+    """
+    s = _exploded(df.select("*", T.split_sentences(text_col).alias("__arr")), F.col("__arr"), "sent_no", "sentence")
+    first = F.col("sent_no") - F.col("sent_no") % size
+    para = F.concat_ws(" ", *[F.get("__arr", first + i) for i in range(size)])  # no sentence beyond the end: left out
+    return s.withColumn("paragraph", para).drop("__arr")
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], col: str, order: Sequence[str], sep: str,

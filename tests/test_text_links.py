@@ -132,3 +132,25 @@ def test_stored_tfidf_applied_to_another_corpus(spark, tmp_path):
     spark.createDataFrame([(3, "other")], "documents long, token_pattern string").write.mode("overwrite").parquet(f"{path}/settings")
     with pytest.raises(ValueError, match="other tokens"):
         X.load_tfidf(spark, path)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def _pages(spark, path, texts):
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string") \
+        .write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "Inflation rose and the outlook weakened")], "item_id long, text string") \
+        .write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_paragraphs_take_their_own_sentences_only(spark, tmp_path):
+    """h10: a text is cleaned and cut once, and no sentence walks the whole text's array."""
+    from __spark_entry__ import queries
+    _pages(spark, tmp_path, ["a. b. c. d", "one", "", None, "x. http://y z  w\u00a0\u00e9q"])
+    df = queries()["h10_paragraphs"](spark, str(tmp_path))
+    got = sorted(rows(df))
+    assert got == [(0, 0, "a", "a b c"), (0, 1, "b", "a b c"), (0, 2, "c", "a b c"), (0, 3, "d", "d"), (1, 0, "one", "one"),
+                   (2, 0, "", ""), (4, 0, "x", "x z w q"), (4, 1, "z w q", "x z w q")]
+    assert _plan(df).count("http") == 1 and "transform(" not in _plan(df)
