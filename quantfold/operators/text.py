@@ -9,8 +9,8 @@ Scale notes
 * Similarity to a corpus never forms document × corpus pairs: the mean of
   cosines equals the dot product with the mean of unit corpus vectors, so
   each document token meets one centroid row per term (an equi join on
-  term that AQE turns into a broadcast when the vocabulary is small, and
-  splits as a skewed join when it is not).
+  term, broadcast when the vocabulary is counted to be small, and split by
+  AQE as a skewed join when it is not).
 * De-duplication keeps the first copy with ``min_by`` in a hash aggregate,
   so a text repeated a million times is still one partial row per task.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.nulls import safe_div
+from ..session import cut_lineage
 from .ranking import top_rows
 
 
@@ -160,21 +161,33 @@ def corpus_centroid(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return idf.join(cen, "token")
 
 
+#: Terms of a corpus (a word and two numbers each) that may be broadcast.
+BROADCAST_TERMS = 200_000
+
+
 def similarity_to_corpus(df: DataFrame, id_cols: Sequence[str], text_col: str, centroid: DataFrame,
                          out: str = "score") -> DataFrame:
     """h13/d08: mean cosine similarity of every text to the corpus documents.
 
-    mean_j cos(d, c_j) = (d / |d|) · mean_j (c_j / |c_j|). One pass over the
-    texts: tokens are exploded (outer, so a text without tokens keeps a row),
-    counted per (text, token), left-joined to the centroid and summed per
-    text. A text without a known term scores 0; a NULL or empty text gets a
+    mean_j cos(d, c_j) = (d / |d|) · mean_j (c_j / |c_j|). The texts are
+    dealt by their ids once; then tokens are exploded (outer, so a text
+    without tokens keeps a row), counted per (text, token), left-joined to the
+    centroid and summed per text where they are: no token row travels. The
+    centroid is computed first and broadcast if it has at most
+    ``BROADCAST_TERMS`` terms; a larger one takes a shuffled join.
+    A text without a known term scores 0; a NULL or empty text gets a
     NULL score. The emptiness flag is computed beside the tokens rather than
     filtered on, because a filter on a derived text column is pushed below
     its projection and would evaluate the whole cleaning expression twice.
     """
     ids = list(id_cols)
     t = F.col(text_col)
-    toks = df.select(*ids, (t.isNull() | (F.length(t) == 0)).alias("__e"), F.explode_outer(T.tokens(text_col)).alias("token"))
+    centroid = cut_lineage(centroid)
+    if centroid.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        centroid = F.broadcast(centroid)
+    dealt = df.select(*ids, t.alias("__t")).repartition(*[F.col(i) for i in ids])
+    t = F.col("__t")
+    toks = dealt.select(*ids, (t.isNull() | (F.length(t) == 0)).alias("__e"), F.explode_outer(T.tokens("__t")).alias("token"))
     counts = toks.groupBy(*ids, "__e", "token").agg(F.count("token").alias("tf"))
     j = counts.join(centroid, "token", "left")
     per = j.groupBy(*ids, "__e").agg(

@@ -154,3 +154,14 @@ def test_paragraphs_take_their_own_sentences_only(spark, tmp_path):
     assert got == [(0, 0, "a", "a b c"), (0, 1, "b", "a b c"), (0, 2, "c", "a b c"), (0, 3, "d", "d"), (1, 0, "one", "one"),
                    (2, 0, "", ""), (4, 0, "x", "x z w q"), (4, 1, "z w q", "x z w q")]
     assert _plan(df).count("http") == 1 and "transform(" not in _plan(df)
+
+
+def test_similarity_deals_texts_once(spark, tmp_path):
+    """h13: the texts travel once, by their ids; no token row does."""
+    from __spark_entry__ import queries
+    _pages(spark, tmp_path, ["inflation rose. the outlook. weakened. inflation", "unknown", "", None])
+    df = queries()["h13_similarity_paragraphs"](spark, str(tmp_path))
+    got = {(p, b): s for p, b, s in rows(df)}
+    assert got[0, 1] > got[0, 2] > 0 and got[1, 1] == 0.0 and got[2, 1] is None and len(got) == 4
+    dealt = [line for line in _plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "token" not in dealt[0]
