@@ -39,8 +39,8 @@ def explode_sentences(df: DataFrame, text_col: str, out: str = "sentence", pos:
     """
     arr = T.split_sentences(text_col)
     if skip_if_contains is not None:
-        arr = F.when(F.col(text_col).contains(skip_if_contains), F.array().cast("array<string>")).otherwise(arr)
-    return df.select("*", F.posexplode(arr).alias(pos, out))
+        arr = F.when(F.col(text_col).contains(skip_if_contains), F.lit(None)).otherwise(arr)
+    return _exploded(df, arr, pos, out)
 
 
 def _exploded(df: DataFrame, arr: Column, pos: str, out: str) -> DataFrame:

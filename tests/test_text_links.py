@@ -165,3 +165,12 @@ def test_similarity_deals_texts_once(spark, tmp_path):
     assert got[0, 1] > got[0, 2] > 0 and got[1, 1] == 0.0 and got[2, 1] is None and len(got) == 4
     dealt = [line for line in _plan(df).splitlines() if "Exchange hashpartitioning" in line]
     assert len(dealt) == 1 and "token" not in dealt[0]
+
+
+def test_selection_cleans_a_page_once(spark):
+    """h18: a page is cleaned once, also where pages with a phrase are left out."""
+    df = spark.createDataFrame([(1, "A. b"), (2, "see notes to the accounts"), (3, None)], "page_no long, text string")
+    df = df.select("page_no", T.clean_page("text").alias("content"))
+    s = X.explode_sentences(df, "content", skip_if_contains="notes to the").drop("content")
+    assert sorted(rows(s)) == [(1, 0, "a"), (1, 1, "b")]
+    assert _plan(s).count("http") == 1
