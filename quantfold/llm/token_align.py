@@ -20,6 +20,11 @@ merging the two lists of ends.
    the identity pairs are a vector as long as A's vocabulary. Texts are
    encoded once: a text's links travel as numbers of its block's pair list.
 
+Tokens never reach from a word over the space after it, so a text is cut at
+such spaces, and a distinct piece is encoded once by the two libraries and
+remembered by the Python worker (at most twice ``REMEMBERED`` pieces). Vocabularies
+with other pre-tokenisation, normalisation or pieces get whole texts.
+
 Edge cases: a text that is null or empty, or whose joined A or B bytes differ
 from the space and the text (normalised or unknown characters), has no
 tokens: zeros and an empty digest. Repeated rows and rows without doc_id each
@@ -31,6 +36,8 @@ of its own. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 from types import SimpleNamespace
@@ -45,7 +52,12 @@ from ._common import Shared, stored
 
 _DOC, _PAIRS, _REGULAR = 0, 1, 2
 #: Texts that the tokenizers get at once hold about so many characters.
-_ENCODE_CHARS = 1 << 20
+_ENCODE_CHARS = 1 << 18
+#: Pieces remembered by a Python worker, and as many older ones; longer ones are encoded each time.
+REMEMBERED = 100_000
+_LONGEST = 64
+#: A space after a word. A space after white space begins no piece.
+_cut = re.compile(r" (?<=\S )").split
 _SCHEMA = ("kind byte, part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "n_regular long, links binary, keys array<long>, counts array<long>")
 
@@ -85,36 +97,92 @@ class Tokenizers:
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 same.setdefault(self.bytes_b[i], i)
         self.identity = np.array([same.get(x, -1) for x in self.bytes_a], np.int64)
+        self._known: dict[str, tuple[bytes, bytes] | None] = {}
+        self._older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.by_piece = _cuts_at_spaces(json.loads(a_json)) and _joins_no_words(b_model)
         # decimal ids followed by each separator, for the digests
         width = len(str(max(len(self.bytes_a), n_b))) + 1
         self.written = np.array([f"{i}{s}" for n, seps in ((len(self.bytes_a), ",|"), (n_b, ",;")) for s in seps
                                  for i in range(n)], f"S{width}")
 
-    def encode(self, texts: list[str | None]) -> tuple[list[bool], list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str | None]) -> tuple[list[bool], list[np.ndarray], list[np.ndarray]]:
         """(has tokens, A ids, B ids) of every text; ids only of the texts that have tokens."""
-        whole = [t or "" for t in texts]
-        found_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in whole], add_special_tokens=False)]
-        found_b = self.b.encode(whole, num_threads=1)
+        cut = [(_cut(t) if self.by_piece else [t]) if t else [] for t in texts]
+        passing = self._learn(set().union(*cut))
         valid, ids_a, ids_b = [], [], []
-        for t, a, b in zip(whole, found_a, found_b):
-            wanted = b" " + t.encode()
-            ok = bool(t) and b"".join(map(self.bytes_a.__getitem__, a)) == wanted and \
-                b"".join(map(self.bytes_b.__getitem__, b)) == wanted
-            valid.append(ok)
-            if ok:
-                ids_a.append(a)
-                ids_b.append(b)
+        for pieces in cut:
+            found = [self._known[p] for p in pieces]
+            valid.append(bool(found) and None not in found)
+            if valid[-1]:
+                ids_a.append(np.frombuffer(b"".join([a for a, _ in found]), np.int32))
+                ids_b.append(np.frombuffer(b"".join([b for _, b in found]), np.int32))
+        for p in passing:
+            del self._known[p]
         return valid, ids_a, ids_b
 
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Ids of new pieces, None where the bytes differ; returns the pieces that are too long to be kept.
+
+        Pieces used since the memory was last full are kept when it is full again.
+        """
+        new = []
+        if len(self._known) + len(pieces) > REMEMBERED:
+            self._older, self._known = self._known, {}
+        for p in pieces:
+            if p not in self._known:
+                if p in self._older:
+                    self._known[p] = self._older[p]
+                else:
+                    new.append(p)
+        if not new:
+            return []
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+        # a last space is an empty piece, for which the library gives nothing
+        found_b = [b if p else [self.b.piece_to_id("▁")] for p, b in zip(new, self.b.encode(new, num_threads=1))]
+        wanted = [b" " + p.encode() for p in new]
+        long = np.fromiter(map(len, wanted), np.int64, len(new))
+        same, packed = np.ones(len(new), bool), []
+        for found, of, lengths in ((found_a, self.bytes_a, self.len_a), (found_b, self.bytes_b, self.len_b)):
+            sizes = np.fromiter(map(len, found), np.int64, len(new))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            got = np.bincount(np.repeat(np.arange(len(new)), sizes), lengths[ids], len(new)).astype(np.int64)
+            if not (got == long).all() or b"".join(map(of.__getitem__, ids.tolist())) != b"".join(wanted):
+                same &= [b"".join(map(of.__getitem__, x)) == w for x, w in zip(found, wanted)]
+            flat, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            packed.append([flat[lo:hi] for lo, hi in zip([0, *ends], ends)])
+        for p, ok, a, b in zip(new, same.tolist(), *packed):
+            self._known[p] = (a, b) if ok else None
+        return [p for p in new if len(p) > _LONGEST]
+
+
+def _cuts_at_spaces(a: dict) -> bool:
+    """Whether a byte-level BPE looks at the pieces before each space that follows a word separately."""
+    pre = a.get("pre_tokenizer") or {}
+    return (not any(a.get(k) for k in ("normalizer", "truncation", "padding")) and a["model"].get("type") == "BPE"
+            and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space")
+            and all(t.get("special") for t in a.get("added_tokens", ())))
+
+
+def _joins_no_words(b_model: bytes) -> bool:
+    """Whether a sentence-piece BPE takes the text as it is and has no piece with a space after another character."""
+    from sentencepiece import sentencepiece_model_pb2
+    m = sentencepiece_model_pb2.ModelProto.FromString(b_model)
+    plain = m.normalizer_spec
+    return (m.trainer_spec.model_type == m.trainer_spec.BPE and m.trainer_spec.byte_fallback and not plain.precompiled_charsmap
+            and plain.add_dummy_prefix and not plain.remove_extra_whitespaces and plain.escape_whitespaces
+            and not m.trainer_spec.treat_whitespace_as_suffix
+            and any(p.piece == "▁" for p in m.pieces)
+            and all(p.type in (p.NORMAL, p.UNKNOWN, p.CONTROL, p.BYTE) and "▁" not in p.piece.lstrip("▁") for p in m.pieces))
+
 
 class Aligned:
     """Links and groups of some texts (all with tokens), computed together."""
 
-    def __init__(self, tok: Tokenizers, ids_a: list[list[int]], ids_b: list[list[int]]):
+    def __init__(self, tok: Tokenizers, ids_a: list[np.ndarray], ids_b: list[np.ndarray]):
         self.n_a = np.array([len(x) for x in ids_a], np.int64)
         self.n_b = np.array([len(x) for x in ids_b], np.int64)
-        a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(self.n_a.sum()))
-        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(self.n_b.sum()))
+        a = np.concatenate([np.zeros(0, np.int64), *ids_a])
+        b = np.concatenate([np.zeros(0, np.int64), *ids_b])
         ends_a, ends_b = np.cumsum(tok.len_a[a]), np.cumsum(tok.len_b[b])
         size = int(ends_a[-1]) + 1 if len(a) else 1
         in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
@@ -210,8 +278,8 @@ def _blocks(sent, block_bytes: int):
             return out
 
         none = np.zeros(0, np.int64)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for part_of in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            ids, texts = part_of.column(0).to_pylist(), part_of.column(1).to_pylist()
             for lo, hi in _slices(texts):
                 valid, ids_a, ids_b = tok.encode(texts[lo:hi])
                 got = Aligned(tok, ids_a, ids_b)

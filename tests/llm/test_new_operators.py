@@ -97,6 +97,27 @@ def test_alignment_of_nothing_and_of_one_long_text(spark, vocabularies):
     assert row["n_links"] == row["n_a"] + row["n_b"] - row["n_groups"] and row["n_a"] > 20_000
 
 
+def test_alignment_encodes_a_piece_once(vocabularies):
+    """Words seen before are not encoded again, and cutting at spaces changes no ids."""
+    from types import SimpleNamespace
+    tok = token_align.Tokenizers(*vocabularies)
+    assert tok.by_piece
+    real, seen = tok.a, []
+
+    def counted(texts, **options):
+        seen.extend(texts)
+        return real.encode_batch_fast(texts, **options)
+    tok.a = SimpleNamespace(encode_batch_fast=counted)
+    tok.encode(["the end of the end"])
+    assert sorted(seen) == [" end", " of", " the"]
+    assert tok.encode(["end of", None, "the"])[0] == [True, False, True] and len(seen) == 3
+    odd = ["a  b", " a", "a ", "a  ", "\n a\n  b \n", "a\u00a0 b", "x\x1c y", "\u3000 z", "don't 's  12 3", "日本 語", "</s> <0x41>", " ", "\t"]
+    valid, ids_a, ids_b = tok.encode(odd)
+    assert all(valid)
+    assert [x.tolist() for x in ids_a] == [real.encode(" " + t, add_special_tokens=False).ids for t in odd]
+    assert [x.tolist() for x in ids_b] == [list(tok.b.encode(t)) for t in odd]
+
+
 # 12 -----------------------------------------------------------------------
 
 def test_products_are_exact_for_any_long():
