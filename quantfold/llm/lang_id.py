@@ -113,19 +113,24 @@ class LanguageModel:
         return self.langs[k], score, bool(1.0 - score > self.reach[k, length_class(len(at))])
 
 
-def _document_frequencies(rows: DataFrame, dims: int) -> tuple[np.ndarray, int]:
+def _counting(dims: int):
+    """Function over Arrow batches of texts: how many hold each n-gram bucket, and under ``dims`` how many there are."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(dims, np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        # few texts at a time: the tasks of an executor share its memory with the JVM
+        for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            for text in part.column(0).to_pylist():
                 at, _ = ngram_buckets(text, dims)
                 df[at] += 1
                 n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, dims).astype(np.int32)), pa.array(np.append(df[at], n))], names=["bucket", "df"])
+    return count
+
 
-    got = (rows.select("text").mapInArrow(count, "bucket int, df long")
+def _document_frequencies(rows: DataFrame, dims: int) -> tuple[np.ndarray, int]:
+    got = (rows.select("text").mapInArrow(_counting(dims), "bucket int, df long")
            .groupBy("bucket").agg(F.sum("df").alias("df")).toPandas())  # at most dims + 1 rows
     out = np.zeros(dims + 1, np.int64)
     out[got["bucket"].to_numpy()] = got["df"].to_numpy()

@@ -152,6 +152,32 @@ def test_bpe_equals_reference_and_round_trips(spark, texts):
     assert bpe.decode(bpe.encode(none(spark), vocabulary), vocabulary).count() == 0
 
 
+def test_bpe_and_language_id_hold_few_texts_at_a_time():
+    """pipeline: a task's Python worker keeps neither a batch of texts nor an array object a piece."""
+    import pyarrow as pa
+    vocabulary = queries.tokenizer()
+    got = list(vocabulary.encode_batch(["the end of the end", None, "über"]))
+    assert [x.tolist() for x, _ in got][1] == [] and vocabulary.decode(got[2][0]) == "über".encode()
+    assert all(isinstance(ids, bytes) for ids, _ in vocabulary._known.values())
+
+    class Noting:
+        """A batch that notes the slices taken of it."""
+        def __init__(self, batch):
+            self.batch, self.taken = batch, []
+
+        def slice(self, lo, n):
+            self.taken.append(n)
+            return self.batch.slice(lo, n)
+
+        num_rows = property(lambda self: self.batch.num_rows)
+        column = property(lambda self: self.batch.column)
+
+    seen = Noting(pa.RecordBatch.from_arrays([pa.array(["the end"] * 1000)], names=["text"]))
+    run = lang_id._counting(16)
+    (found,) = run(iter([seen]))
+    assert max(seen.taken) <= 256 and found.column(1).to_pylist()[-1] == 1000
+
+
 # 4 ------------------------------------------------------------------------
 
 def test_chat_collapse_and_render(spark):
