@@ -9,9 +9,11 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 #: Java pattern of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -197,44 +199,61 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Labels are passed along the edges and then followed once (label of the
     label) until nothing changes, so long chains shorten geometrically. Each
-    round is checkpointed. Work per round is one pass over the edges; a node
-    with very many edges is pre-aggregated (``min``) before the shuffle. The
-    labels are broadcast when there are at most ``BROADCAST_ROWS`` nodes.
+    round's labels are written and read again, which also gives them the size
+    of their files: a checkpoint keeps the planner's estimate, a product of
+    the sizes of all joined tables, whose number of digits would grow some
+    threefold a round until it fills the driver. Earlier rounds are deleted.
+    Work per round is one pass over the edges; a node with very many edges is
+    pre-aggregated (``min``) before the shuffle. The labels are broadcast when
+    there are at most ``BROADCAST_ROWS`` nodes.
     """
     both = materialise(edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
                        .unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst")))
                        .filter("src <> dst").distinct())
-    labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-                         .select("node", F.least("node", "m").alias("component")))
+    place = _folder(edges.sparkSession)
+    path = f"{place}/0"
+    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+                    .select("node", F.least("node", "m").alias("component")), path)
     few = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # holds for every round: the nodes stay
     sent = F.broadcast if few else (lambda t: t)
-    while True:
+    for step in itertools.count(1):
         heard = both.join(sent(labels), F.col("src") == F.col("node")).select(
             F.col("dst").alias("node"), "component", F.lit(None).cast("long").alias("was"))
         near = (heard.unionByName(labels.select("node", "component", F.col("component").alias("was")))
                 .groupBy("node").agg(F.min("component").alias("near"), F.max("was").alias("was")))
         up = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = materialise(near.join(sent(up), "near").select("node", "was", F.least("near", "far").alias("component")))
+        earlier, path = path, f"{place}/{step}"
+        new = stored(near.join(sent(up), "near").select("node", "was", F.least("near", "far").alias("component")), path)
+        _delete(edges.sparkSession, earlier)
         changed = new.filter("component <> was").limit(1).count()
         labels = new.select("node", "component")
         if not changed:
             return labels
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared checkpoint folder and read back.
+def _folder(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder; what is written there goes when the session's file system is closed."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quantfold-{uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # only what exists can be marked
+    files.deleteOnExit(where)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, path: str = "") -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder (or to ``path`` in it) and read back.
 
     For large intermediates: columnar, compressed, and read by column. The
     folder goes when the session's file system is closed.
     """
-    from uuid import uuid4
-
-    from ..session import ensure_checkpoint_dir
-
     spark = df.sparkSession
     release(spark, after=5.0)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quantfold-{uuid4().hex}"
+    path = path or f"{_folder(spark)}/0"
     df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from quantfold.llm import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, quality, queries, sharding  # noqa: E402
+from quantfold.llm._common import components  # noqa: E402
+from quantfold.session import ensure_checkpoint_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,6 +132,19 @@ def test_ngram_join_odd_ids_and_keep_one(spark):
     assert ngram_join.link(none(spark)).count() == 0
 
 
+def test_components_keep_the_estimated_size_and_one_round(spark):
+    chain = [(n, n + 1) for n in range(1, 30)] + [(40, 51), (40, 52), (60, 60), (None, 3)]
+    label = {n: 1 for n in range(1, 31)} | {n: 40 for n in (40, 51, 52)}
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("quantfold-*"))
+    found = components(spark.createDataFrame(chain, "a long, b long"))
+    # a product over all rounds' joins had thousands of bits, and many more with every call on its own result
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 64
+    assert {r["node"]: r["component"] for r in found.collect()} == label
+    (made,) = set(folder.glob("quantfold-*")) - before
+    assert sum(p.is_dir() for p in made.iterdir()) == 1
+
+
 # 3 ------------------------------------------------------------------------
 
 def reference_encoding():
