@@ -26,7 +26,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 #: Java pattern of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step looks at (a longer document is one step).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

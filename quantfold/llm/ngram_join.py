@@ -46,10 +46,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Shared, Words, components, materialise, shingle_hashes, slices, small
+from ._common import BROADCAST_ROWS, Shared, Words, components, materialise, shingle_hashes, slices, small
 
 #: Cells of the counting sketch that orders n-grams (its size never depends on the data).
 SKETCH_CELLS = 1 << 18
@@ -129,6 +129,16 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - least + min(SHARED, least)
 
 
+#: Whether a bucket's member can link with any other one, by the bucket's ``_far_reaching`` figures.
+_MEETS = "reach >= n OR (smallest <= reach AND n <= widest)"
+
+
+def _far_reaching(rows: DataFrame) -> list[Column]:
+    """Least size and largest reach of the sets that reach beyond their own size (of two linked sets the smaller one does)."""
+    far = rows["reach"] >= rows["n"]
+    return [F.min(F.when(far, rows["n"])).alias("smallest"), F.max(F.when(far, rows["reach"])).alias("widest")]
+
+
 def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -169,54 +179,67 @@ def link(docs: DataFrame, *, size: int = 4, percent: int = 85, fragments: int =
                .select("node", "h", F.expr(f"place <= n - ({percent} * n + 99) DIV 100").alias("key")))
     shared_by = lambda t: t.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
     some = materialise(entries.join(shared_by(entries).select("h"), "h").distinct())
-    # "most": n-grams that a set can share with any other one, as some of its rare ones are nobody else's
+    # "most": n-grams that a set can share with any other one, as some of its rare ones are nobody else's;
+    # "reach": the largest set that it can link with, for that reason
     enough = (some.groupBy("node").agg(F.count("*").alias("k")).join(reps.select("node", "n", "map"), "node")
               .withColumn("least", F.expr(f"({percent} * n + 99) DIV 100"))
               .filter(f"k >= least({SHARED}, least)")
-              .select("node", "n", "map", F.expr(f"least - least({SHARED}, least) + k").alias("most")))
+              .withColumn("most", F.expr(f"least - least({SHARED}, least) + k"))
+              .select("node", "n", "map", F.expr(f"{100 + percent} * most DIV {percent} - n").alias("reach")))
     sizes = materialise(enough)
-    shared_rare = some.join(small(sizes), "node")
-    keys = shared_rare.filter("key")
-    members = materialise(keys.join(shared_by(keys).select("h", "pivot"), "h").select("h", "node", "n", "most", "map", "pivot"))
+    shared_rare = some.join(small(sizes.drop("map")), "node")
+    keys = shared_rare.filter("key").drop("key")
+    buckets = (keys.groupBy("h").agg(F.count("*").alias("m"), F.min(F.when(F.col("reach") >= F.col("n"), F.col("node"))).alias("pivot"),
+                                     *_far_reaching(keys)).filter("m > 1 AND pivot IS NOT NULL"))
+    pruned = materialise(keys.join(buckets, "h").filter(_MEETS).select("h", "node", "pivot"))
+    traits = small(sizes, BROADCAST_ROWS // 4)
+    members = pruned.join(traits, "node")
     # shared rare n-grams of every set that has a bucket, at most its own length
-    lists = materialise(shared_rare.join(small(members.select("node").distinct()), "node", "left_semi")
+    lists = materialise(shared_rare.join(small(pruned.select("node").distinct()), "node", "left_semi")
                         .groupBy("node", "n").agg(F.collect_list("h").alias("hs")))
     differ = " + ".join(f"bit_count(pa[{i}] ^ pb[{i}])" for i in range(4))
-    possible = (f"100 * least(ma, mb) >= {percent} * (na + nb - least(ma, mb)) AND "
+    possible = (f"na <= rb AND nb <= ra AND "
                 f"{differ} <= na + nb - 2 * (({percent} * (na + nb) + {99 + percent}) DIV {100 + percent})")
-    side = lambda x: [F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("map").alias(f"p{x}")]
-    heads = sizes.select(F.col("node").alias("a"), *side("a"))
+    side = lambda x: [F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("map").alias(f"p{x}")]
+    end = lambda x: traits.select(F.col("node").alias(x), *side(x))
     verified = lambda pairs: overlaps(pairs, lambda nodes: _pieces(docs, nodes, reps, shared, size), percent)
 
-    first = (members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), *side("b")).distinct())
-    pairs = _fitting(first.join(heads, "a").filter(possible).select("a", "b"), lists, percent)
+    first = materialise(pruned.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = _fitting(first.join(end("a"), "a").join(end("b"), "b").filter(possible).select("a", "b"), lists, percent)
     links = materialise(verified(pairs))
-    done = members.select("h", F.col("pivot").alias("node")).distinct()  # met by their whole bucket
+    unmet = members.filter("node <> pivot").drop("pivot")  # a pivot met its whole bucket
     pivots = PIVOTS
     while True:
         labels = components(links)
-        left = materialise(members.drop("pivot").join(done, ["h", "node"], "left_anti")
-                           .join(small(labels), "node", "left")
-                           .select("h", "node", "n", "most", "map", F.coalesce("component", "node").alias("c")))
-        counts = left.groupBy("h", "c").agg(F.count("*").alias("k"))
-        # k and c packed into one number order: the largest component of a bucket, ties by smallest label
-        mixed = (counts.groupBy("h").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.count("*").alias("parts"))
-                 .filter("parts > 1"))
-        largest = (counts.join(mixed, "h").filter("k = top").groupBy("h", "m", "top").agg(F.min("c").alias("main")))
-        open_ = materialise(left.join(largest, "h"))
+        left = materialise(unmet.join(small(labels), "node", "left")
+                           .select("h", "node", "n", "reach", "map", F.coalesce("component", "node").alias("c")))
+        counts = left.groupBy("h", "c").agg(F.count("*").alias("k"), *_far_reaching(left))
+        # the largest component of a bucket, ties by smallest label
+        mixed = (counts.groupBy("h").agg(F.sum("k").alias("m"), F.max("k").alias("top"), F.count("*").alias("parts"),
+                                         F.min("smallest").alias("smallest"), F.max("widest").alias("widest"))
+                 .filter("parts > 1 AND smallest IS NOT NULL"))
+        largest = (counts.select("h", "c", "k").join(mixed, "h").filter("k = top")
+                   .groupBy("h", "m", "smallest", "widest").agg(F.min("c").alias("main")))
+        open_ = materialise(left.join(largest, "h").filter(_MEETS).drop("smallest", "widest"))
         todo = open_.agg(F.sum(F.when(F.col("c") != F.col("main"), F.col("m"))).alias("meetings"),
                          F.count("*").alias("rows")).first()  # one row
         if not todo["meetings"]:
             break
-        light = open_.filter("c <> main").select("h", F.col("node").alias("a"), F.col("c").alias("ca"), *side("a"))
         finish = todo["meetings"] <= FINISH * todo["rows"]
+        light = open_.filter("c <> main")
         if not finish:
-            chosen = light.groupBy("h").agg(F.min("a").alias("first"), F.count("*").alias("k"))
-            light = (light.join(chosen, "h").filter(f"a = first OR pmod(xxhash64(a), k) < {pivots}").drop("first", "k"))
+            chosen = light.groupBy("h").agg(F.min("node").alias("first"), F.count("*").alias("k"))
+            # buckets that closed stay closed: the next round looks at this one's members that did not meet all others
+            now = F.expr(f"c <> main AND (node = first OR pmod(xxhash64(node), k) < {pivots})")
+            marked = materialise(open_.join(chosen, "h").withColumn("now", now).drop("first", "k"))
+            light, unmet = marked.filter("now"), marked.filter("NOT now").select("h", "node", "n", "reach", "map")
             pivots *= 4
-            done = materialise(done.unionByName(light.select("h", F.col("a").alias("node"))))
-        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), *side("b"))
-        met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("ca") != F.col("cb")) & F.expr(possible))
+        # of two sets that can link, the smaller one reaches beyond itself: the others need not meet among themselves
+        far = F.col("reach") >= F.col("n")
+        light = light.select("h", F.col("node").alias("a"), F.col("c").alias("ca"), *side("a"),
+                             F.explode(F.when(far, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("far"))
+        other = open_.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("c").alias("cb"), *side("b"), far.alias("farb"))
+        met = light.join(other, (F.col("h") == F.col("hb")) & (F.col("far") == F.col("farb")) & (F.col("ca") != F.col("cb")) & F.expr(possible))
         pairs = _fitting(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lists, percent)
         # the components so far stand for the links they came from
         links = materialise(verified(pairs).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -132,6 +132,45 @@ def test_ngram_join_odd_ids_and_keep_one(spark):
     assert ngram_join.link(none(spark)).count() == 0
 
 
+def test_ngram_join_rounds_look_at_open_buckets_only(spark, monkeypatch):
+    word = lambda *at: "w" + "x".join(map(str, at))
+    near = [" ".join([word(g, i) for i in range(40)] + [word(g, "e", k)]) for g in range(20) for k in range(3)]
+    blocks = [" ".join(word("b", b, i) for i in range(30)) for b in range(6)]
+    texts = near + [f"{x} {y}" for i, x in enumerate(blocks) for y in blocks[i + 1:]]
+    rows, keep = [], ngram_join.materialise
+
+    def seen(df):
+        out = keep(df)
+        if out.columns[-1] == "c":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", seen)
+    monkeypatch.setattr(ngram_join, "FINISH", 0)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(frame(spark, texts)).collect()}
+    assert got == brute_components(dict(enumerate(texts)), 4, 85)
+    assert len(rows) > 1 and rows[1] < rows[0] / 2, rows
+
+
+def test_ngram_join_opens_no_bucket_for_sets_that_reach_no_other(spark, monkeypatch):
+    word = lambda *at: "w" + "x".join(map(str, at))
+    every = [word("s", i) for i in range(265)]
+    texts = [" ".join(every + [word("p", d // 2, i) for i in range(40)] + [word(d, i) for i in range(43)]) for d in range(6)]
+    rows, keep = [], ngram_join.materialise
+
+    def seen(df):
+        out = keep(df)
+        if "pivot" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", seen)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(frame(spark, texts)).collect()}
+    assert got == brute_components(dict(enumerate(texts)), 4, 85)
+    assert rows == [0]
+
+
 def test_components_keep_the_estimated_size_and_one_round(spark):
     chain = [(n, n + 1) for n in range(1, 30)] + [(40, 51), (40, 52), (60, 60), (None, 3)]
     label = {n: 1 for n in range(1, 31)} | {n: 40 for n in (40, 51, 52)}
