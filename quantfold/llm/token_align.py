@@ -21,7 +21,8 @@ merging the two lists of ends.
    encoded once: a text's links travel as numbers of its block's pair list.
 
 Tokens never reach from a word over the space after it, so a text is cut at
-such spaces, and a distinct piece is encoded once by the two libraries and
+such spaces, and a distinct piece is encoded once by the two libraries (new
+pieces are joined by spaces to texts of ``_JOINED`` and cut again) and
 remembered by the Python worker (at most twice ``REMEMBERED`` pieces). Vocabularies
 with other pre-tokenisation, normalisation or pieces get whole texts.
 
@@ -56,6 +57,8 @@ _ENCODE_CHARS = 1 << 18
 #: Pieces remembered by a Python worker, and as many older ones; longer ones are encoded each time.
 REMEMBERED = 100_000
 _LONGEST = 64
+#: New pieces that the tokenizers get as one text (with spaces between them, where it is cut again); so few go one by one.
+_JOINED = 64
 #: A space after a word. A space after white space begins no piece.
 _cut = re.compile(r" (?<=\S )").split
 _SCHEMA = ("kind byte, part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -136,6 +139,36 @@ class Tokenizers:
                     new.append(p)
         if not new:
             return []
+        plain, alone = [], []
+        for p in new:  # a space after white space would begin no piece
+            (plain if self.by_piece and p and len(p) <= _LONGEST and not p[-1].isspace() and "▁" not in p else alone).append(p)
+        if len(plain) <= _JOINED or not self._learn_joined(plain):
+            alone = new
+        if alone:
+            self._learn_alone(alone)
+        return [p for p in new if len(p) > _LONGEST]
+
+    def _learn_joined(self, new: list[str]) -> bool:
+        """Ids of pieces that are encoded many at once as one text; False (and nothing learned) where any bytes differ."""
+        texts = [" ".join(new[lo:lo + _JOINED]) for lo in range(0, len(new), _JOINED)]
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        found_b = self.b.encode(texts, num_threads=1)
+        wanted = (" " + " ".join(new)).encode()
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in new), np.int64, len(new)))
+        packed = []
+        for found, of, lengths in ((found_a, self.bytes_a, self.len_a), (found_b, self.bytes_b, self.len_b)):
+            ids = np.fromiter(chain.from_iterable(found), np.int32)
+            reached = np.cumsum(lengths[ids])
+            at = np.searchsorted(reached, ends)
+            if at[-1] != len(ids) - 1 or not (reached[at] == ends).all() or b"".join(map(of.__getitem__, ids.tolist())) != wanted:
+                return False
+            flat, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+            packed.append([flat[lo:hi] for lo, hi in zip([0, *cuts], cuts)])
+        self._known.update(zip(new, zip(*packed)))
+        return True
+
+    def _learn_alone(self, new: list[str]) -> None:
+        """Ids of pieces that are encoded one by one, None where the bytes differ."""
         found_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
         # a last space is an empty piece, for which the library gives nothing
         found_b = [b if p else [self.b.piece_to_id("▁")] for p, b in zip(new, self.b.encode(new, num_threads=1))]
@@ -152,7 +185,6 @@ class Tokenizers:
             packed.append([flat[lo:hi] for lo, hi in zip([0, *ends], ends)])
         for p, ok, a, b in zip(new, same.tolist(), *packed):
             self._known[p] = (a, b) if ok else None
-        return [p for p in new if len(p) > _LONGEST]
 
 
 def _cuts_at_spaces(a: dict) -> bool:

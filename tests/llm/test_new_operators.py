@@ -118,6 +118,29 @@ def test_alignment_encodes_a_piece_once(vocabularies):
     assert [x.tolist() for x in ids_b] == [list(tok.b.encode(t)) for t in odd]
 
 
+def test_alignment_joins_new_pieces(vocabularies):
+    """Many new pieces are encoded as few texts, with the ids that each text has by itself."""
+    from types import SimpleNamespace
+    tok = token_align.Tokenizers(*vocabularies)
+    real, seen = tok.a, []
+
+    def counted(texts, **options):
+        seen.extend(texts)
+        return real.encode_batch_fast(texts, **options)
+    tok.a = SimpleNamespace(encode_batch_fast=counted)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeionrst'é日0,") for _ in range(rng.randint(1, 9))) for _ in range(700)]
+    texts = [" ".join(words[i:i + 70]) for i in range(0, 700, 70)]
+    texts += ["a  b", "\n a\n  b \n", "end ", "x\x1c y", "\u3000 z", "</s> <0x41>", " ", "q" * 100 + " r"]
+    for given in (texts, [t + " ▁" + t for t in texts]):
+        valid, ids_a, ids_b = tok.encode(given)
+        good = [t for t, ok in zip(given, valid) if ok]
+        assert len(good) == (len(texts) if given is texts else 0)
+        assert [x.tolist() for x in ids_a] == [real.encode(" " + t, add_special_tokens=False).ids for t in good]
+        assert [x.tolist() for x in ids_b] == [list(tok.b.encode(t)) for t in good]
+    assert len(seen) < 100
+
+
 # 12 -----------------------------------------------------------------------
 
 def test_products_are_exact_for_any_long():
