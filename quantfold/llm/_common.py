@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import time
@@ -67,6 +68,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can.
+
+    Idle Python workers wait a minute for the next task; what the allocators
+    keep for them until then is missing to the JVM of the same executor.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Shared:
     """A broadcast Python object, sent with its class and unpacked once a task."""
 

@@ -20,7 +20,8 @@
 The first occurrence of a passage stays: a removed line always has an equal
 line earlier in (doc_id, position) order, so some copy of every line survives.
 
-Line numbers and hashes travel for all documents. Texts are moved once, to meet
+Python looks at ``SLICE_BYTES`` of text at a time, so a task's memory is that
+of its longest document. Line numbers and hashes travel for all documents. Texts are moved once, to meet
 their spans; a passage that a third of the corpus holds is a row a task there.
 
 Edge cases: null text stays null; an empty text is one empty line. Lines end
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import mix, release, stored
+from ._common import give_back, mix, release, slices, stored
 
 #: Order of rows without doc_id: behind every id.
 _LAST = (1 << 63) - 1
@@ -121,17 +122,21 @@ def _covered(spans_: list[dict], n: int, later: bool) -> list[bool]:
     return on
 
 
-def _share_a_hash(marked: DataFrame, seed: int) -> bool:
-    """Whether two different lines of repeated chunks have one hash."""
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = set()
-            for text, spans_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+def _repeated_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct lines of repeated chunks, a slice of texts at a time."""
+    for batch in batches:
+        for lo, hi, _, _ in slices(batch):
+            part, seen = batch.slice(lo, hi - lo), set()
+            for text, spans_ in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 all_ = text.split("\n")
                 seen.update(x for x, on in zip(all_, _covered(spans_, len(all_), False)) if on)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["line"])
+        give_back()
 
-    distinct = marked.filter("__spans IS NOT NULL").select("text", "__spans").mapInArrow(lines, "line string").distinct()
+
+def _share_a_hash(marked: DataFrame, seed: int) -> bool:
+    """Whether two different lines of repeated chunks have one hash."""
+    distinct = marked.filter("__spans IS NOT NULL").select("text", "__spans").mapInArrow(_repeated_lines, "line string").distinct()
     return not distinct.groupBy(F.xxhash64("line", F.lit(seed)).alias("h")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
@@ -152,6 +157,22 @@ def _remove(spans_: list[dict], text: str, least_words: int) -> tuple[str, int]:
     return "\n".join(x for x, gone in zip(lines, on) if not gone), sum(on)
 
 
+def _without(names: list[str], least_words: int):
+    """Function over Arrow batches of the columns ``names`` and the spans: the texts without their passages, a slice at a time."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, _, _ in slices(batch):
+                part, texts, removed = batch.slice(lo, hi - lo), [], []
+                for text, own in zip(part.column(names.index("text")).to_pylist(), part.column(len(names)).to_pylist()):
+                    text, n = (text, 0) if own is None else _remove(own, text, least_words)
+                    texts.append(text)
+                    removed.append(n)
+                columns = [pa.array(texts, pa.string()) if n == "text" else part.column(i) for i, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "lines_removed"])
+            give_back()
+    return apply
+
+
 def dedup(docs: DataFrame, *, least_words: int = 10, long_line: int = 50, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``, and ``lines_removed``."""
     kept = [f for f in docs.schema.fields if f.name != "lines_removed"]
@@ -169,15 +190,5 @@ def dedup(docs: DataFrame, *, least_words: int = 10, long_line: int = 50, drop_e
         seed += 1
     release(docs.sparkSession)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for text, own in zip(batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist()):
-                text, n = (text, 0) if own is None else _remove(own, text, least_words)
-                texts.append(text)
-                removed.append(n)
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "lines_removed"])
-
-    out = marked.mapInArrow(apply, T.StructType([*kept, T.StructField("lines_removed", T.LongType(), False)]))
+    out = marked.mapInArrow(_without(names, least_words), T.StructType([*kept, T.StructField("lines_removed", T.LongType(), False)]))
     return out.filter("NOT (lines_removed > 0 AND trim(text) = '')") if drop_emptied else out

@@ -12,13 +12,14 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from quantfold.llm import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, quality, queries, sharding  # noqa: E402
-from quantfold.llm._common import components  # noqa: E402
+from quantfold.llm._common import SLICE_BYTES, components  # noqa: E402
 from quantfold.session import ensure_checkpoint_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -322,6 +323,21 @@ def test_line_dedup_finds_passages_of_any_number_of_lines(spark, lines):
     assert all(got[i]["lines_removed"] == lines for i in range(len(rows)) if i % 3)
 
 
+def test_line_dedup_looks_at_few_texts_at_a_time():
+    rows = ["\n".join(f"line {i} {j} " + "word " * 20 for j in range(20)) for i in range(2000)] + ["", None]
+    own = [[{"start": 3, "len": 2, "later": bool(i % 2)}] for i in range(2000)] + [None, None]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("later", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(own, kind)], names=["text", "__spans"])
+    got = list(line_dedup._without(["text"], 10)([batch]))
+    assert [x for b in got for x in b.column(0).to_pylist()] == [
+        x if i % 2 == 0 or i >= 2000 else "\n".join(x.split("\n")[:3] + x.split("\n")[5:]) for i, x in enumerate(rows)]
+    assert [x for b in got for x in b.column(1).to_pylist()] == [2 * (i % 2) for i in range(2000)] + [0, 0]
+    lines = list(line_dedup._repeated_lines([batch.slice(0, 2000)]))
+    assert sorted(x for b in lines for x in b.column(0).to_pylist()) == sorted(x for r in rows[:2000] for x in r.split("\n")[3:5])
+    for made in (got, lines):  # 5 MB of texts in one batch
+        assert len(made) > 5 and max(b.get_total_buffer_size() for b in made) < 2 * SLICE_BYTES
+
+
 def test_line_dedup_compares_bytes(spark, monkeypatch):
     rows = ["one two three four five six\nseven eight nine ten eleven"] * 3
     looks = []
