@@ -64,7 +64,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Shared, Words, materialise, mix, release, slices
+from ._common import SLICE_BYTES, Shared, Words, give_back, materialise, mix, release, slices
 
 #: Bytes of text a batch holds (a longer document is a batch of its own), and bytes split into words at once.
 BATCH_BYTES, PIECE_BYTES = 16 << 20, 4 << 20
@@ -108,12 +108,16 @@ def reseat(count: np.ndarray, weight: np.ndarray, rng: np.random.Generator, d: f
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens with one end token a text, bounds of the texts)."""
-    words = Words.of(data, offsets)
-    n = len(offsets) - 1
-    bounds = words.bounds + np.arange(n + 1)
-    out = np.full(len(words.hashes) + n, END_HASH, np.uint64)
-    out[np.arange(len(words.hashes)) + words.doc] = words.hashes
-    return out, bounds
+    found, sizes, lo, n = [np.zeros(0, np.uint64)], [], 0, len(offsets) - 1
+    while lo < n:  # hashing takes some fifty bytes for each byte of text, so it sees little at a time
+        hi = min(max(int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1, lo + 1), n)
+        words = Words.of(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+        out = np.full(len(words.hashes) + hi - lo, END_HASH, np.uint64)
+        out[np.arange(len(words.hashes)) + words.doc] = words.hashes
+        found.append(out)
+        sizes.append(np.diff(words.bounds) + 1)
+        lo = hi
+    return np.concatenate(found), np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes])))
 
 
 def _many_tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -123,8 +127,9 @@ def _many_tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
         held.append(_tokens(data, offsets))
         size += len(data)
         if size > BATCH_BYTES - PIECE_BYTES // 2 or hi == batch.num_rows:
-            sizes = np.concatenate([np.diff(bounds) for _, bounds in held])
-            yield start, hi, np.concatenate([tokens for tokens, _ in held]), np.append(0, np.cumsum(sizes))
+            bounds = np.append(0, np.cumsum(np.concatenate([np.diff(own) for _, own in held])))
+            held = [np.concatenate([tokens for tokens, _ in held])]
+            yield start, hi, held.pop(), bounds  # the tokens are the receiver's alone
             start, size, held = hi, 0, []
 
 
@@ -139,6 +144,7 @@ def hot_words(docs: DataFrame, share: float) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(words[often].view(np.int64), 0)), pa.array(np.append(n[often], len(tokens))),
                      pa.array([False] * int(often.sum()) + [True])], names=["word", "n", "total"])
+            give_back()
 
     seen = materialise(docs.select("text").mapInArrow(count, "word long, n long, total boolean")
                        .groupBy("total", "word").agg(F.sum("n").alias("n")))
@@ -202,6 +208,16 @@ def _pairs(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mix(words ^ mix(contexts + _U(1)))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted values, first place of each, number of every place's value), as ``np.unique`` in half its memory."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[:len(x)]
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], order[new], number
+
+
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     # ranges of the hash: hashes in order are also in order of their shards
     return ((hashes >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
@@ -241,17 +257,20 @@ def _batches(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
             ids, learn = batch.column(0), np.asarray(batch.column(2))
             for lo, hi, tokens, bounds in _many_tokens(batch):
                 context = _contexts(tokens, bounds)
-                pair, first, number = np.unique(_pairs(tokens, context), return_index=True, return_inverse=True)
+                pair, first, number = _distinct(_pairs(tokens, context))
                 taught = np.repeat(learn[lo:hi], np.diff(bounds))
                 seen = np.bincount(number[taught], minlength=len(first)).astype(np.int32)
                 words, contexts = tokens[first], context[first]
+                del tokens, context, taught
                 shard = _shard(np.where(_is_in(words, shared.value), pair, words), shards)
                 order = np.lexsort((contexts, words, shard))
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order))
                 keys, to, of_context, of_word = _keys(words[order], contexts[order], shared.value, shards)
                 # a text is the sorted numbers of its pairs (its sums need no order), all texts one rising row
-                placed = np.sort(np.repeat(np.arange(hi - lo), np.diff(bounds)) * len(order) + place[number])
+                placed = np.repeat(np.arange(hi - lo) * len(order), np.diff(bounds))
+                placed += place[number]
+                placed.sort()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part << 32 | seq], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids.slice(lo, hi - lo)),
@@ -266,6 +285,8 @@ def _batches(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 ], names=["batch", "doc_ids", "sizes", "n_pairs", "n_learned", "dealt", "asked", "words", "keys",
                           "of_context", "of_word", "seen", "tokens"])
                 seq += 1
+                del number, placed
+                give_back()
 
     return materialise(docs.select("doc_id", "text", "learn").mapInArrow(
         run, "batch long, doc_ids array<long>, sizes array<long>, n_pairs long, n_learned long, dealt array<long>, asked array<long>, "
@@ -471,16 +492,20 @@ def score(docs: DataFrame, *, shards: int | None = None, seed: int = 1) -> DataF
         total[often] = customers[hot_word[often]]
         up[often] = np.maximum(open_[hot_word[often]] - DISCOUNT, 0.0)
         sizes = np.asarray(r["sizes"], np.int64)
+        number = np.cumsum(_unpack(r["tokens"], np.uint32, int(sizes.sum())), dtype=np.int64)
+        number -= np.repeat(np.arange(len(sizes)) * r["n_pairs"], sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        number = np.cumsum(_unpack(r["tokens"], np.uint32, int(sizes.sum())).astype(np.int64)) - doc * r["n_pairs"]
         parent = np.where(total > 0, up, THETA + DISCOUNT * types) / (THETA + tables)
         p = (leaf + (THETA + DISCOUNT * open_[context]) * parent) / (THETA + customers[context])
         lg = np.log10(p)
         base = np.log10(total + 1.0) - math.log10(learned + types + 1.0)
         add = lambda x: np.bincount(doc, x[number], len(sizes))
-        return pd.DataFrame({"doc_id": pd.array(list(r["doc_ids"]), dtype="Int64"), "n_tokens": sizes,
-                             "n_known": add((total > 0).astype(np.float64)).astype(np.int64), "train_tokens": learned,
-                             "base_score": add(base), "score": add(lg)})
+        out = pd.DataFrame({"doc_id": pd.array(list(r["doc_ids"]), dtype="Int64"), "n_tokens": sizes,
+                            "n_known": add((total > 0).astype(np.float64)).astype(np.int64), "train_tokens": learned,
+                            "base_score": add(base), "score": add(lg)})
+        del doc, number, leaf, up, total, customers, open_, context, hot_word, often, parent, p, lg, base
+        give_back()
+        return out
 
     cols = batches.select("batch", "doc_ids", "sizes", "n_pairs", "of_context", "of_word", "tokens")
     mine = (answers.filter("batch >= 0").select("shard", "batch", "n", "a", "b", "c", F.lit(False).alias("key"))

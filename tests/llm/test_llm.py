@@ -8,6 +8,7 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from quantfold.llm import bpe, chat, decontam, lang_id, license_scan, line_dedup, lm, ngram_join, quality, queries, sharding  # noqa: E402
-from quantfold.llm._common import SLICE_BYTES, components  # noqa: E402
+from quantfold.llm._common import SLICE_BYTES, components, text_buffers  # noqa: E402
 from quantfold.session import ensure_checkpoint_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -527,6 +528,23 @@ def test_lm_odd_rows_and_seating(spark):
     assert abs(t[c == 50].mean() - mean) < 0.1 * mean
 
 
+def test_lm_memory_follows_the_tokens_not_the_bytes():
+    rng = np.random.default_rng(3)
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(2000)] + ["", None, "One"]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])
+    tracemalloc.start()
+    got = list(lm._many_tokens(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    (lo, hi, tokens, bounds), = got
+    assert (lo, hi, len(tokens)) == (0, len(rows), 2000 * 401 + 4) and peak < 5 * tokens.nbytes, peak / tokens.nbytes
+    own, ends = lm._tokens(*text_buffers(batch.column(0).slice(0, 3)))
+    assert ends.tolist() == bounds[:4].tolist() and (own == tokens[:ends[-1]]).all() and tokens[-2] == lm.Words.of(*text_buffers(pa.array(["one"]))).hashes[0]
+    for x, y in zip(lm._distinct(tokens), np.unique(tokens, return_index=True, return_inverse=True)):
+        assert (x == y).all()
+    assert [len(x) for x in lm._distinct(tokens[:0])] == [0, 0, 0]
+
+
 # 10 -----------------------------------------------------------------------
 
 def test_decontamination_equals_brute_force(spark, texts):
